@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licences, lsh_forest, mixing, quality, sharding, suffix_dedup, token_counts, topk
+from . import bpe, licences, lsh_forest, media, mixing, quality, sharding, suffix_dedup, token_counts, topk
 
 #: Where the public vocabulary files lie; a parameter of every operator that needs one.
 VOCABULARY_JSON, VOCABULARY_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -56,6 +56,11 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so the media column is made from pages: a picture of each page's whole visible text."""
+    return media.image_copies(media.page_pictures(table(spark, sf_dir, "pages")), "page_id", "image")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
