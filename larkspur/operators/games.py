@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X, values as V
 
-_H, _A = F.col("home_score"), F.col("away_score")
+_H, _A = "home_score", "away_score"
 
 
 def state_hash() -> Column:
     """What of a game, if it changes, makes it news again."""
-    return F.sha2(F.concat_ws("|", F.col("game_id").cast("string"), "status", _H.cast("string"), _A.cast("string")), 256)
+    return F.sha2(F.concat_ws("|", F.col("game_id").cast("string"), "status", F.col(_H).cast("string"), F.col(_A).cast("string")), 256)
 
 
 def leads() -> Column:
     """The winner's lead after each period; away wins a tie. Empty where the sides' periods don't pair."""
-    home = _H > _A
+    home = F.col(_H) > F.col(_A)
     pairs = F.zip_with("home_periods", "away_periods", lambda h, a: F.when(home, h - a).otherwise(a - h))
     running = F.transform(pairs, lambda _, i: F.aggregate(F.slice(pairs, F.lit(1), i + 1), F.lit(0), lambda acc, x: acc + x))
     return F.when(F.size("home_periods") == F.size("away_periods"), running).otherwise(F.array().cast("array<int>"))
@@ -27,13 +27,13 @@ def with_metrics(games: DataFrame) -> DataFrame:
     some = F.size(run) > 0
     back = F.when(some, F.greatest(F.lit(0), -F.array_min(run))).otherwise(0)
     half = lambda side: F.aggregate(F.slice(side, 3, 100), F.lit(0), lambda acc, x: acc + x)
-    later = F.when(_H > _A, half("home_periods") - half("away_periods")).otherwise(half("away_periods") - half("home_periods"))
+    later = F.when(F.col(_H) > F.col(_A), half("home_periods") - half("away_periods")).otherwise(half("away_periods") - half("home_periods"))
     return (
         games.withColumn("_leads", leads())
         .withColumns(
             {
-                "margin": F.abs(_H - _A),
-                "total_points": _H + _A,
+                "margin": F.abs(F.col(_H) - F.col(_A)),
+                "total_points": F.col(_H) + F.col(_A),
                 "went_to_overtime": F.col("period") > 4,
                 "largest_deficit_overcome": back,
                 "led_wire_to_wire": some & F.forall(run, lambda x: x > 0),
@@ -50,19 +50,23 @@ def fresh_games(games: DataFrame, seen: DataFrame) -> DataFrame:
     return games.withColumn("state_hash", state_hash()).join(seen.select("state_hash"), "state_hash", "left_anti")
 
 
-#: Categories of which each game that qualifies counts, and those of which only the most extreme does: (measure, sign, bar).
-EVERY = {
-    "comeback": F.col("largest_deficit_overcome") >= V.COMEBACK,
-    "overtime": F.col("went_to_overtime"),
-    "wire_to_wire": F.col("led_wire_to_wire") & (F.col("margin") > V.CLOSE) & (F.col("margin") < V.BLOWOUT),
-    "second_half_takeover": F.col("second_half_swing") >= V.SWING,
-}
-EXTREME = {
-    "closest_finish": (F.col("margin"), 1, F.col("margin") <= V.CLOSE),
-    "biggest_period": (F.col("biggest_period"), -1, F.col("biggest_period") >= V.BIG_PERIOD),
-    "largest_margin": (F.col("margin"), -1, F.col("margin") >= V.BLOWOUT),
-    "highest_scoring": (F.col("total_points"), -1, F.col("total_points") >= V.HIGH_TOTAL),
-}
+def qualifies(category: str) -> Column:
+    """Whether a game's own numbers are enough for a category."""
+    margin = F.col("margin")
+    return {
+        "comeback": F.col("largest_deficit_overcome") >= V.COMEBACK,
+        "overtime": F.col("went_to_overtime"),
+        "wire_to_wire": F.col("led_wire_to_wire") & (margin > V.CLOSE) & (margin < V.BLOWOUT),
+        "second_half_takeover": F.col("second_half_swing") >= V.SWING,
+        "closest_finish": margin <= V.CLOSE,
+        "biggest_period": F.col("biggest_period") >= V.BIG_PERIOD,
+        "largest_margin": margin >= V.BLOWOUT,
+        "highest_scoring": F.col("total_points") >= V.HIGH_TOTAL,
+    }[category]
+
+
+#: Categories that only the most extreme game gets: what is measured, and 1 for the least, -1 for the most.
+EXTREME = {"closest_finish": ("margin", 1), "biggest_period": ("biggest_period", -1), "largest_margin": ("margin", -1), "highest_scoring": ("total_points", -1)}
 
 
 def notable_games(games: DataFrame, batch: list[str]) -> DataFrame:
@@ -75,12 +79,11 @@ def notable_games(games: DataFrame, batch: list[str]) -> DataFrame:
     over = Window.partitionBy(*batch)
     for name in V.CATEGORIES:
         free = F.col("category").isNull()
-        if name in EVERY:
-            takes = free & EVERY[name]
-        else:
-            measure, sign, bar = EXTREME[name]
-            key = F.when(free, F.struct((measure * sign).alias("m"), F.col("pos").alias("p")))
-            takes = free & (key == F.min(key).over(over)) & bar
+        takes = free & qualifies(name)
+        if name in EXTREME:
+            measure, sign = EXTREME[name]
+            key = F.when(free, F.struct((F.col(measure) * sign).alias("m"), F.col("pos").alias("p")))
+            takes = takes & (key == F.min(key).over(over))
         rows = rows.withColumn("category", F.when(takes, name).otherwise(F.col("category")))
     return rows.where("category IS NOT NULL").withColumn("category_pos", F.array_position(X.literals(V.CATEGORIES), F.col("category")).cast("int"))
 

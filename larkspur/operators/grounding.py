@@ -23,10 +23,10 @@ def name_index(sources: DataFrame, key: str) -> DataFrame:
     """(key, word, words): names of sources under their first and last word, ordinary words left out, of at least two words."""
     ordinary = ordinary_words(sources, [key])
     # Title and summary apart, and sentence by sentence: no name may span them.
-    fields = sources.select(key, F.explode(F.flatten(F.transform(F.array("title", "summary"), X.sentences))).alias("s"))
-    names = fields.select(key, F.explode(X.scanned_names(F.col("s"))).alias("n")).distinct().withColumn("all", X.name_words(X.stripped(F.col("n"), " .,;:")))
-    words = names.select(key, "n", F.posexplode("all").alias("i", "word")).join(ordinary, [key, "word"], "left_anti")
-    kept = words.groupBy(key, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("words")).where(F.size("words") >= 2)
+    fields = sources.select(key, F.explode(F.flatten(F.transform(F.array("title", "summary"), X.sentences))).alias("_s"))
+    names = fields.select(key, F.explode(X.scanned_names(F.col("_s"))).alias("_n")).distinct().withColumn("_all", X.name_words(X.stripped(F.col("_n"), " .,;:")))
+    words = names.select(key, "_n", F.posexplode("_all").alias("_i", "word")).join(ordinary, [key, "word"], "left_anti")
+    kept = words.groupBy(key, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda x: x["word"]).alias("words")).where(F.size("words") >= 2)
     ends = F.array_distinct(F.array(F.element_at("words", -1), F.element_at("words", 1)))
     return kept.select(key, F.explode(ends).alias("word"), F.array_distinct("words").alias("words"))
 
@@ -103,15 +103,15 @@ def entity_keys(x: Column, min_words: int, competition: Iterable[str] = V.COMPET
 
 def source_pairs(sources: DataFrame, key: str) -> DataFrame:
     """Pairs of entities that one source names together: (key, first, second), both ways and each with itself."""
-    keys = sources.select(key, entity_keys(F.concat_ws(" ", "title", "summary"), 1).alias("k"))
-    return keys.select(key, F.explode("k").alias("first"), "k").select(key, "first", F.explode("k").alias("second")).distinct()
+    keys = sources.select(key, entity_keys(F.concat_ws(" ", "title", "summary"), 1).alias("_named"))
+    return keys.select(key, F.explode("_named").alias("first"), "_named").select(key, "first", F.explode("_named").alias("second")).distinct()
 
 
 def unsupported_sentences(claims: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Sentences that name two entities no source names together: (key, sentence_pos, sentence)."""
-    said = claims.select(key, F.posexplode(X.sentences(F.col("summary"))).alias("sentence_pos", "s")).withColumn("k", entity_keys(F.col("s"), 2)).where(F.size("k") > 1)
-    pairs = said.select(key, "sentence_pos", "s", "k", F.posexplode("k").alias("i", "first")).select(key, "sentence_pos", "s", "first", F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("second"))
-    return pairs.join(source_pairs(sources, key), [key, "first", "second"], "left_anti").select(key, "sentence_pos", X.stripped(F.col("s")).alias("sentence")).distinct()
+    said = claims.select(key, F.posexplode(X.sentences(F.col("summary"))).alias("sentence_pos", "_s")).withColumn("_named", entity_keys(F.col("_s"), 2)).where(F.size("_named") > 1)
+    pairs = said.select(key, "sentence_pos", "_s", "_named", F.posexplode("_named").alias("_i", "first")).select(key, "sentence_pos", "_s", "first", F.explode(F.slice("_named", F.col("_i") + 2, F.size("_named"))).alias("second"))
+    return pairs.join(source_pairs(sources, key), [key, "first", "second"], "left_anti").select(key, "sentence_pos", X.stripped(F.col("_s")).alias("sentence")).distinct()
 
 
 def validated(claims: DataFrame, sources: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def read_markdown(spark: SparkSession, root: str, skipped: Iterable[str] = (".gi
     inside = F.lit(False)
     for name in skipped:
         inside = inside | F.contains("path", F.lit(f"/{name}/"))
-    return files.where(~inside).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(~inside).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def _resolved(path: Column, link: Column) -> Column:

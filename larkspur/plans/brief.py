@@ -48,7 +48,7 @@ def main(arguments: list[str] | None = None) -> int:
     games = game_source.read_games(spark, f"{given.landing}/games/{day.isoformat()}.json")
     folder, now = settings.state_folder, F.current_timestamp()
     one = lambda df: df.withColumn("batch", F.lit(0))
-    articles, games = one(articles), one(games)
+    articles, games = state.cut(one(articles)), state.cut(one(games))  # parsed once
     seen = state.read_or_empty(spark, f"{folder}/seen_articles", "article_id string, seen_at timestamp")
     states = state.read_or_empty(spark, f"{folder}/seen_games", "state_hash string, game_id long, seen_at timestamp")
     messages = state.cut(brief(articles, games, seen, states, state.results_history(spark, folder), now, ["batch"]))

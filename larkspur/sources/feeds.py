@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrow, text as X, values as V
@@ -43,7 +44,7 @@ def parse_feed(texts: DataFrame, source: str, column: str = "xml") -> DataFrame:
 
 def read_feed(spark: SparkSession, path: str, source: str) -> DataFrame:
     """A landed feed; bytes are read as UTF-8."""
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("UTF-8")).alias("xml"))
+    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("xml"))
     return parse_feed(raw, source)
 
 
@@ -57,7 +58,7 @@ def fetch_all(spark: SparkSession, folder: str, names=V.FEEDS, catalogue: Mappin
         try:
             feed = read_feed(spark, f"{folder}/{catalogue[name]}", name).withColumn("pos", F.col("pos") + (place << 32))
             feed.schema  # an unreadable path shows here
-        except Exception:  # one source's failure is a row in the report, not the end of the run
+        except AnalysisException:  # one source's failure is a line in the report, not the end of the run
             failed.append(name)
             continue
         found = feed if found is None else found.unionByName(feed)
