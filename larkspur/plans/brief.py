@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import games as G, news, render, stories
+from ..streaming.state import cut
 
 
 def brief(articles: DataFrame, games: DataFrame, seen_articles: DataFrame, seen_games: DataFrame, results: DataFrame, now: Column, batch: list[str], **rules) -> DataFrame:
@@ -16,11 +17,12 @@ def brief(articles: DataFrame, games: DataFrame, seen_articles: DataFrame, seen_
 
     Articles are filtered, ranked and told apart by story before the cap; both relations carry the batch's columns.
     """
-    kept = news.unseen(news.drop_non_news(articles, now, **rules), seen_articles)
-    ranked = news.ranked(kept, games)
+    # Cut where a relation is read several times below: the three messages would each plan and read it anew.
+    kept = cut(news.unseen(news.drop_non_news(articles, now, **rules), seen_articles))
+    ranked = cut(news.ranked(kept, games))
     place = F.row_number().over(Window.partitionBy(*batch).orderBy("rank_key"))
-    told = stories.build_stories(ranked.withColumn("pos", place.cast("long")), batch)
-    fresh = G.fresh_games(games, seen_games)
+    told = cut(stories.build_stories(ranked.withColumn("pos", place.cast("long")), batch))
+    fresh = cut(G.fresh_games(games, seen_games))
     parts = [render.scoreboard(fresh, G.series_context(fresh, results), batch), render.highlights(G.notable_games(fresh, batch), batch), render.headlines(told, batch)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
