@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import gc
 import hashlib
 import json
 
@@ -22,12 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_batches
+from .common import text_batches, untracked
 
 #: The split of a text ahead of the merges that the vocabulary files are made for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries kept by a worker before its tables start anew; bounds memory, never results.
-MOST_WORDS, MOST_STATES = 300_000, 250_000
+MOST_WORDS, MOST_STATES = 600_000, 700_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -134,82 +133,105 @@ class Merges:
 
 
 class Transducer:
-    """Lazily determinised transducer from bytes to tokens."""
+    """Lazily determinised transducer from bytes to tokens; tokens are numbers here."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.child: dict[tuple[int, int], int] = {}
-        self.token: list[bytes | None] = [None]
+        self.child: dict[int, int] = {}  # node * 256 + byte
+        self.token = [-1]  # number of the token that a node ends
         self.inner = [False]  # whether longer tokens begin so
+        self.tokens = [t for t in merges.order if merges.is_token(t)]
+        self.fits: dict[int, bool] = {}
+        child, numbers = self.child, {t: n for n, t in enumerate(self.tokens)}
         for token in merges.order:
             node = 0
             for byte in token:
-                after = self.child.get((node, byte))
+                after = child.get(node * 256 + byte)
                 if after is None:
-                    after = self.child[node, byte] = len(self.token)
-                    self.token.append(None)
+                    after = child[node * 256 + byte] = len(self.token)
+                    self.token.append(-1)
                     self.inner[node] = True
                     self.inner.append(False)
                 node = after
-            if merges.is_token(token):
-                self.token[node] = token
+            self.token[node] = numbers.get(token, -1)
         self.reset()
 
     def reset(self) -> None:
-        start = (None, ((0, ()),))
+        start = (-1, 0, ())
         self.numbers = {start: 0}
         self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple[bytes, ...]]]] = [{}]
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte: next state * 256, tokens
 
-    def number(self, state: tuple) -> int:
-        found = self.numbers.get(state)
-        if found is None:
-            found = self.numbers[state] = len(self.states)
-            self.states.append(state)
-            self.steps.append({})
-        return found
+    def step(self, at: int) -> tuple[int, tuple[int, ...]]:
+        """The state after a byte, made when first asked for, and the tokens that became certain.
 
-    def step(self, number: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
-        """The state after a byte, made when first asked for, and the tokens that became certain."""
-        before, threads = self.states[number]
-        grown, fitting = [], None
-        for node, path in threads:  # earliest start first, so the longest token first
-            after = self.child.get((node, byte))
+        A state is the last token written, and then for each start position, the earliest first, its node and the tokens up to it.
+        """
+        state, byte = self.states[at >> 8], at & 255
+        before, child, ends, inner = state[0], self.child, self.token, self.inner
+        grown: list = []
+        fitting = None
+        for i in range(1, len(state), 2):  # earliest start first, so the longest token first
+            after = child.get(state[i] * 256 + byte)
             if after is None:
                 continue
-            if self.inner[after]:
-                grown.append((after, path))
-            token = self.token[after]
-            if fitting is None and token is not None:
-                last = path[-1] if path else before
-                if last is None or self.merges.may_follow(last, token):
-                    fitting = (*path, token)
+            path = state[i + 1]
+            if inner[after]:
+                grown += (after, path)
+            if fitting is None:
+                token = ends[after]
+                if token >= 0:
+                    last = path[-1] if path else before
+                    if last < 0:
+                        fitting = (*path, token)
+                    else:
+                        key = last * 1_000_003 + token
+                        fits = self.fits.get(key)
+                        if fits is None:
+                            if len(self.fits) > 3_000_000:
+                                self.fits.clear()
+                            fits = self.fits[key] = self.merges.may_follow(self.tokens[last], self.tokens[token])
+                        if fits:
+                            fitting = (*path, token)
         assert fitting is not None, "every byte is a token"
-        grown.append((0, fitting))
         agreed = len(fitting)
-        for _, path in grown:
+        for i in range(1, len(grown), 2):
+            path = grown[i]
             same, most = 0, min(len(path), agreed)
             while same < most and path[same] == fitting[same]:
                 same += 1
             agreed = same
             if not agreed:
                 break
-        sure = fitting[:agreed]
-        state = (sure[-1], tuple([(node, path[agreed:]) for node, path in grown])) if agreed else (before, tuple(grown))
-        made = self.steps[number][byte] = (self.number(state), sure)
-        return made
+        if agreed:
+            for i in range(1, len(grown), 2):
+                grown[i] = grown[i][agreed:]
+            sure = fitting[:agreed]
+            made = (sure[-1], *grown, 0, fitting[agreed:])
+        else:
+            sure, made = (), (before, *grown, 0, fitting)
+        if () not in made:  # then no thread follows the token before, which need not tell states apart
+            made = (-1, *made[1:])
+        found = self.numbers.get(made)
+        if found is None:
+            found = self.numbers[made] = len(self.states)
+            self.states.append(made)
+        step = self.steps[at] = (found << 8, sure)
+        return step
 
     def encode(self, data: bytes) -> list[bytes]:
         """Tokens of one split of a text."""
         if len(self.states) > MOST_STATES:
             self.reset()
-        out: list[bytes] = []
-        at, steps = 0, self.steps
+        out: list[int] = []
+        at, known, step = 0, self.steps.get, self.step
         for byte in data:
-            at, sure = steps[at].get(byte) or self.step(at, byte)
+            at, sure = known(at + byte) or step(at + byte)
             if sure:
                 out += sure
-        return out + list(self.states[at][1][-1][1])
+        out += self.states[at >> 8][-1]
+        tokens = self.tokens
+        return [tokens[n] for n in out]
 
 
 class Encoded(dict):
@@ -299,7 +321,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        gc.disable()  # the tables hold no cycles, and walking them costs a third of the time
+        with untracked():
+            yield from made(batches)
+
+    def made(batches):
         for batch in batches:
             ids, texts = batch.columns
             packed = [encode_text(t or "", path, pattern) for t in texts.to_pylist()]

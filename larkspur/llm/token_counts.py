@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import bisect
 import functools
-import gc
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import MOST_WORDS, PATTERN, Merges, read_vocabulary, splitter
-from .common import text_batches
+from .common import text_batches, untracked
 
 
 def blank(word: str) -> bool:
@@ -153,7 +152,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        gc.disable()  # the tables hold no cycles, and walking them costs a third of the time
+        with untracked():
+            yield from made(batches)
+
+    def made(batches):
         tables, split = prefix_counts(path), splitter(PATTERN)
         for batch in batches:
             ids, texts = batch.columns
