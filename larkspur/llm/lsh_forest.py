@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, components, text_batches
+from .common import checkpointed, components, text_batches, with_links, written
 
 #: Minimum hashes of a signature, trees (orders of the hashes), and the depths between which a tree's regions are cut.
 HASHES, TREES, SHALLOW, DEEP = 160, 32, 4, 6
@@ -17,8 +15,6 @@ HASHES, TREES, SHALLOW, DEEP = 160, 32, 4, 6
 REGION = 24
 #: Bits compared before a pair is confirmed, and how many must agree; a pair at similarity 0.8 agrees in 115.2 of them, standard deviation 3.4.
 BITS, AGREE = 128, 97
-#: Texts whose hashes are computed together, by words.
-WORDS_AT_ONCE = 200_000
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _rng = np.random.default_rng(20240229)
@@ -30,7 +26,7 @@ ORDERS = np.concatenate([_rng.permutation(HASHES) for _ in range(-(-TREES * DEEP
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -73,11 +69,10 @@ def agreements(bits: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def region_links(bits: np.ndarray, ids: np.ndarray, of: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of a region to confirm.
+    """Pairs of a region to confirm; those whose bits agree too little are left out.
 
     Without components (of is None): each member with the one nearest to the region's majority, which for copies of one text is that text or
-    like it, and each with its successor in the signature order. With components: every pair that lies in two of them. Pairs whose bits agree too
-    little are left out.
+    like it, and each with its successor in the signature order. With components: the pairs of members of two components.
     """
     out = []
     if of is None:
@@ -91,12 +86,13 @@ def region_links(bits: np.ndarray, ids: np.ndarray, of: np.ndarray | None) -> li
         beside = BITS - np.bitwise_count(bits[1:] ^ bits[:-1]).sum(1).astype(np.int64)
         out += [(int(at), int(at) + 1) for at in np.flatnonzero(beside >= AGREE)]
     else:
-        sizes = dict(zip(*np.unique(of, return_counts=True)))
-        largest = max(sizes, key=lambda c: (sizes[c], -c))
+        names, sizes = np.unique(of, return_counts=True)
+        largest = names[np.argmax(sizes)]
         for at in np.flatnonzero(of != largest):  # pairs inside the largest component never come up
-            other = np.flatnonzero((of != of[at]) & ((of == largest) | (np.arange(len(of)) > at)))
-            out += [(int(at), int(x)) for x in other[agreements(bits[other], bits[at]) >= AGREE]]
-    return [(min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))) for a, b in out]
+            agree = agreements(bits, bits[at])
+            other = np.flatnonzero((of != of[at]) & (agree >= AGREE))
+            out += [(int(at), int(x)) for x in other]
+    return [(min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))) for a, b in out if ids[a] != ids[b]]
 
 
 def regions(key: np.ndarray, deeper: np.ndarray):
@@ -120,7 +116,6 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     text_batches(docs.sparkSession)
 
     def run(batches):
-        gc.disable()
         words = WordHashes()
         for batch in batches:
             sizes, one, two, signs = [], [], [], []
@@ -206,10 +201,8 @@ def candidates(forest: DataFrame, with_components: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of classes whose full sets are similar. Sets are made again from the texts of the classes that stand in a pair."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.join(ends, "id", "left_semi").select("id", "one", "two")
+def sets_of(classes: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, set) of classes (id, one, two), made again from their texts: only of those that stand in a pair, and once."""
 
     def run(batches):
         words = WordHashes()
@@ -223,7 +216,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = texts.join(wanted, "id").select("id", "text", "one", "two").mapInArrow(run, "id long, set binary")
+    return texts.join(classes.select("id", "one", "two"), "id").select("id", "text", "one", "two").mapInArrow(run, "id long, set binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes whose full sets are similar."""
 
     def check(batches):
         for batch in batches:
@@ -242,10 +239,88 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
     return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
+#: Members of a family that are compared together: those outside its largest component, by those of the whole family.
+OUTSIDE, ALL = 512, 2048
+
+
+def block_links(ids: np.ndarray, of: np.ndarray, outside: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a block: each outside member's shared shingles with all others, counted from an index of shingles."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, where = np.unique(np.concatenate(sets), return_inverse=True)
+    counts = np.bincount(where)
+    begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    bearers = row[np.argsort(where, kind="stable")]
+    ends = np.cumsum(sizes)
+    out = []
+    for x in np.flatnonzero(outside):
+        mine = where[ends[x] - sizes[x] : ends[x]]
+        mine = mine[counts[mine] > 1]
+        many = counts[mine]
+        at = np.repeat(begins[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = np.bincount(bearers[at], minlength=len(sets))
+        hit = (100 * common >= percent * (sizes + sizes[x] - common)) & (of != of[x])
+        for y in np.flatnonzero(hit):
+            out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+    return out
+
+
+def family_links(families: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within a family: classes that candidate pairs connect, confirmed or not.
+
+    Members outside a family's largest component meet all its members, block by block, and only links come out: a large family of
+    near misses costs comparisons, but no pairs are made.
+    """
+    members = families.withColumnRenamed("component", "family").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    plan = whole.select("family", "largest", blocks(F.col("all") - F.col("most"), OUTSIDE).alias("xs"), blocks(F.col("all"), ALL).alias("ys"))
+    rows = checkpointed(members.join(plan, "family").select("id", "family", "component", (F.col("component") != F.col("largest")).alias("outside"), "xs", "ys"))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    x = rows.where("outside").select("id", "family", "component", "outside", mine("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"))
+    y = rows.select("id", "family", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), mine("ys").alias("y"))
+    met = x.unionByName(y).join(sets, "id")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            key = block_keys(held)
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if len(cut):
+                yield linked(held.slice(0, int(cut[-1])))
+                held = held.slice(int(cut[-1])).combine_chunks()
+        if held is not None and held.num_rows:
+            yield linked(held)
+
+    def block_keys(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("family", "x", "y")], 1)
+
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        key = block_keys(table)
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+        ids, of, outside = (table.column(c).to_numpy() for c in ("id", "component", "outside"))
+        raw, out = table.column("set"), set()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if outside[a:b].any():
+                out |= set(block_links(ids[a:b], of[a:b], outside[a:b], [np.frombuffer(s, np.uint64) for s in raw[a:b].to_pylist()], percent))
+        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    ordered = met.select("family", "x", "y", "id", "component", "outside", "set").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def classes_met(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return ids.join(met, "id", "left_semi")
+
+
 def with_component(classes: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
     """Classes that stood in a pair, each with its component so far: its own id if it was linked with none."""
-    met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return classes.join(met, "id", "left_semi").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return classes_met(classes.select("id", "signature"), pairs).join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,8 +329,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Words are split at white space, A-Z in lower case; a set holds the distinct runs of n words (a shorter text is one run). Texts are linked if
     100 times the shared shingles are at least `percent` times all. Rows of equal sets form one class at once; classes are compared
     through a forest of sorted signature orders, and a link counts when the full sets confirm it. First every member of a
-    region is compared with the member nearest to its majority and with its neighbour in the order; then all pairs that lie in different
-    components are. So a region of copies of one text costs a comparison a member, and no pair that could join components is passed over.
+    region is compared with the member nearest to its majority and with its neighbour in the order. What these pairs connect is a family; then members
+    outside a family's largest component are compared with the whole family, in blocks that give out links alone, and pairs of a region that lie
+    in two families one by one. So a region of copies of one text costs two pairs a member, and no pair of a region that could join components is
+    passed over.
     A pair at exactly 0.8 is missed by all orders with a chance of about 6e-5 in the deepest regions and 1e-7 in the others.
 
     Returns one row for each input row: the id column, n_shingles, component_id (the smallest id reachable), kept (id = component_id).
@@ -263,17 +340,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     and kept null, as nothing can be said of them; repeated rows are kept and fall into one class; where rows give one id different texts and it is the smallest of
     several classes, only the class of the largest set is linked further; an empty table gives an empty one; other columns are not looked at.
     """
-    rows = checkpointed(sketched(docs, id_col, text_col, n))
+    rows = written(sketched(docs, id_col, text_col, n))
     full = rows.where("id is not null and size > 0")
-    classes = full.groupBy("one", "two").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("signature").alias("signature"))
-    classes = checkpointed(classes.groupBy("id").agg(F.max(F.struct("size", "one", "two", "signature")).alias("s")).select("id", "s.*"))
-    first = checkpointed(candidates(forest_rows(classes.withColumn("component", F.lit(0))), False))
-    sure = checkpointed(confirmed(first, docs, classes, n, percent, id_col, text_col))
+    sets = full.groupBy("one", "two").agg(F.min("id").alias("id"), F.max("size").alias("size"))
+    ids = checkpointed(sets.groupBy("id").agg(F.max(F.struct("size", "one", "two")).alias("s")).select("id", "s.one", "s.two"))
+    classes = full.join(ids, ["id", "one", "two"], "left_semi")  # with signatures
+    tried = checkpointed(candidates(forest_rows(classes.withColumn("component", F.lit(0))), False))
+    held = written(sets_of(classes_met(ids, tried), docs, n, id_col, text_col))
+    sure = checkpointed(confirmed(tried, held, percent))
     named = components(sure)
-    second = checkpointed(candidates(forest_rows(with_component(classes, first, named)), True).join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = checkpointed(confirmed(second, docs, classes, n, percent, id_col, text_col))
-        named = components(sure.union(more))
+    # What is left to compare: pairs across families one by one, those within a family block by block.
+    families = checkpointed(with_links(named, tried))
+    apart = candidates(forest_rows(with_component(classes, tried, families)), True)
+    more = checkpointed(confirmed(apart, held, percent).union(family_links(families, named, held, percent)))
+    named = with_links(named, more)
     of_set = full.groupBy("one", "two").agg(F.min("id").alias("class")).join(named.withColumnRenamed("id", "class"), "class", "left")
     of_set = of_set.select("one", "two", F.coalesce("component", "class").alias("component"))
     joined = rows.join(of_set, ["one", "two"], "left").withColumn("component", F.when(F.col("size") > 0, F.col("component")))
