@@ -26,7 +26,7 @@ TOKEN = 24
 #: Bytes of text whose anchors are found together.
 AT_ONCE = 2_000_000
 #: Runs of a range, about, and the most ranges.
-RANGE_RUNS, MOST_RANGES = 100_000, 10_000
+RANGE_RUNS, MOST_RANGES = 25_000, 10_000
 
 
 def token_hashes(data: np.ndarray) -> np.ndarray:
@@ -65,8 +65,8 @@ def find_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     hashes = token_hashes(data)
     places = np.arange(len(hashes), dtype=np.uint64)
     # The place in the low bits settles ties: the leftmost of equal tokens.
-    packed = (hashes & ~np.uint64((1 << 28) - 1)) | places
-    anchors = (smallest(packed, length - TOKEN + 1) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    packed = (hashes & ~np.uint64((1 << 32) - 1)) | places
+    anchors = (smallest(packed, length - TOKEN + 1) & np.uint64((1 << 32) - 1)).astype(np.int64)
     starts = np.arange(len(anchors))
     text = np.repeat(np.arange(len(long)), sizes)[: len(anchors)]
     inside = starts + length <= bounds[text + 1]
@@ -186,10 +186,11 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     found = written(texts.select("key", "text").mapInArrow(anchor, f"key binary, token long, digest long, start long, strings int, twice boolean, spans {SPANS_SQL}"))
     runs = found.where("token is not null")
     # Equal runs, whole: one stands for all. `at` tells where its bytes are; copies of one text have the same places, so count once here.
-    kinds = runs.groupBy("token", "digest", "strings").agg(F.max("twice").alias("twice"), F.min(F.struct("key", "start")).alias("at"), F.max(F.struct("key", "start")).alias("to"))
+    place = F.xxhash64("key", "start")
+    kinds = runs.groupBy("token", "digest", "strings").agg(F.max("twice").alias("twice"), F.min(F.struct("key", "start")).alias("at"), F.min(place).alias("low"), F.max(place).alias("high"))
     per_token = kinds.groupBy("token").agg(F.count("*").alias("kinds"))
     # A run that comes again is repeated whole; one whose token has other runs may be in part.
-    kinds = written(kinds.join(per_token.where("kinds > 1"), "token", "left").select("token", "digest", "strings", "at", ((F.col("at") != F.col("to")) | F.col("twice")).alias("whole"), F.col("kinds").isNotNull().alias("open")).where("whole or open"))
+    kinds = written(kinds.join(per_token.where("kinds > 1"), "token", "left").select("token", "digest", "strings", "at", ((F.col("low") != F.col("high")) | F.col("twice")).alias("whole"), F.col("kinds").isNotNull().alias("open")).where("whole or open"))
     open_kinds = kinds.where("open")
     n_open = open_kinds.count()
     ranges = max(1, min(MOST_RANGES, n_open // RANGE_RUNS + 1))
