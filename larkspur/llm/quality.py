@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ SHRUNK = 1.5
 #: A bucket counts if its class counts differ from the expected ones by so many standard deviations.
 CERTAIN = 5.0
 #: Words kept by a worker before its table starts anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 #: Raw components: text that the target leaves out, by its fault.
 TARGET, LOW, TOXIC = 0, 1, 2
 
@@ -181,7 +180,6 @@ def importance(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        gc.disable()
         features = Features()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
