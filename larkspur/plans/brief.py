@@ -5,30 +5,54 @@ from __future__ import annotations
 import argparse
 import datetime
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators import games as G, news, render, stories
+from ..functions import values as V
+from ..operators import games as G, grounding, news, render, stories, summarize
+from ..streaming.channels import Stdout, Telegram
 from ..streaming.state import cut
 
 
-def brief(articles: DataFrame, games: DataFrame, seen_articles: DataFrame, seen_games: DataFrame, results: DataFrame, now: Column, batch: list[str], **rules) -> DataFrame:
-    """(batch..., message_pos, text): scores, highlights, headlines; a section with nothing in it is left out.
-
-    Articles are filtered, ranked and told apart by story before the cap; both relations carry the batch's columns.
-    """
-    # Cut where a relation is read several times below: the three messages would each plan and read it anew.
+def news_of(articles: DataFrame, games: DataFrame, seen_articles: DataFrame, now: Column, batch: list[str], **rules) -> tuple[DataFrame, DataFrame]:
+    """What passes the filter and is new, and its stories: filtered, ranked, then told apart by story before any cap."""
+    # Cut where a relation is read several times below: the messages would each plan and read it anew.
     kept = cut(news.unseen(news.drop_non_news(articles, now, **rules), seen_articles))
-    ranked = cut(news.ranked(kept, games))
     place = F.row_number().over(Window.partitionBy(*batch).orderBy("rank_key"))
-    told = cut(stories.build_stories(ranked.withColumn("pos", place.cast("long")), batch))
+    ranked = cut(news.ranked(kept, games).withColumn("pos", place.cast("long")))
+    return kept, cut(stories.build_stories(ranked, batch))
+
+
+def games_of(games: DataFrame, seen_games: DataFrame, results: DataFrame, batch: list[str]) -> DataFrame:
     fresh = cut(G.fresh_games(games, seen_games))
-    parts = [render.scoreboard(fresh, G.series_context(fresh, results), batch), render.highlights(G.notable_games(fresh, batch), batch), render.headlines(told, batch)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    scores = render.scoreboard(fresh, G.series_context(fresh, results), batch)
+    return scores.unionByName(render.highlights(G.notable_games(fresh, batch), batch))
+
 
+def brief(articles: DataFrame, games: DataFrame, seen_articles: DataFrame, seen_games: DataFrame, results: DataFrame, now: Column, batch: list[str], **rules) -> DataFrame:
+    """(batch..., message_pos, text): scores, highlights, headlines; a section with nothing in it is left out. Both relations carry the batch's columns."""
+    _, told = news_of(articles, games, seen_articles, now, batch, **rules)
+    return games_of(games, seen_games, results, batch).unionByName(render.headlines(told, batch))
 
-def main(arguments: list[str] | None = None) -> int:
-    """Read landed feeds and a day's games, print or deliver the brief, and record what was delivered."""
+
+def summarised(told: DataFrame, vocabulary: DataFrame, batch: str, writers: list[Callable[[str], str | None]], failed: list[str] | None = None) -> DataFrame:
+    """The news as a written text where a safe one was found, with what its sources don't link marked; else the headlines."""
+    order = Window.partitionBy(batch).orderBy("chain_pos")
+    leads = told.where("member_pos = 0").withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < V.MAX_STORIES)
+    leads = cut(leads.withColumn("pos", F.col("place").cast("long")))
+    texts = cut(summarize.safe_summaries(leads, batch, writers, vocabulary))
+    flagged = grounding.unsupported_sentences(texts, leads, batch).groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("sentence_pos", "sentence"))).alias("found"))
+    marked = texts.join(flagged, batch, "left").select(batch, "summary", F.coalesce(F.transform("found", lambda x: x["sentence"]), F.array().cast("array<string>")).alias("unsupported"))
+    rest = told.join(texts.select(batch), batch, "left_anti")
+    return render.written_news(marked, [batch], failed).unionByName(render.headlines(rest, [batch]))
+
+
+def main(arguments: list[str] | None = None, writers: list[Callable[[str], str | None]] | None = None) -> int:
+    """Read landed feeds and a day's games, print or deliver the brief, and record what was delivered.
+
+    Each of `writers` is one attempt at a written text; without any, and where none is safe, the news are headlines.
+    """
     from ..settings import Settings, SettingsError
     from ..sources import feeds, games as game_source
     from ..streaming import state
@@ -37,14 +61,19 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("landing", help="folder with feeds and games/<date>.json")
     parser.add_argument("--date", type=datetime.date.fromisoformat, default=None)
     parser.add_argument("--dry-run", action="store_true", help="print, record nothing")
-    parser.add_argument("--channel", choices=("stdout",), default="stdout")
+    parser.add_argument("--channel", choices=("stdout", "telegram"), default="stdout")
+    parser.add_argument("--no-summary", action="store_true", help="headlines only")
+    parser.add_argument("--log-level", default="WARN")
     given = parser.parse_args(arguments)
     try:
         settings = Settings.from_env()
+        if given.channel == "telegram" and not given.dry_run:
+            settings.require_delivery()
     except SettingsError as wrong:
         print(wrong, file=sys.stderr)
         return 2
     spark = SparkSession.builder.getOrCreate()
+    spark.sparkContext.setLogLevel(given.log_level)
     day = given.date or datetime.datetime.now(datetime.timezone.utc).date()
     articles, failed = feeds.fetch_all(spark, given.landing)
     games = game_source.read_games(spark, f"{given.landing}/games/{day.isoformat()}.json")
@@ -53,18 +82,17 @@ def main(arguments: list[str] | None = None) -> int:
     articles, games = state.cut(one(articles)), state.cut(one(games))  # parsed once
     seen = state.read_or_empty(spark, f"{folder}/seen_articles", "article_id string, seen_at timestamp")
     states = state.read_or_empty(spark, f"{folder}/seen_games", "state_hash string, game_id long, seen_at timestamp")
-    messages = state.cut(brief(articles, games, seen, states, state.results_history(spark, folder), now, ["batch"]))
-
-    def send(text: str, silent: bool) -> bool:
-        print(text, "\n---\n", sep="\n", flush=True)
-        return True
+    kept, told = news_of(articles, games, seen, now, ["batch"])
+    parts = games_of(games, states, state.results_history(spark, folder), ["batch"])
+    told_as = render.headlines(told, ["batch"]) if given.no_summary or not writers else summarised(told, articles, "batch", writers, failed)
+    messages = state.cut(parts.unionByName(told_as))
 
     def commit() -> None:
-        if not given.dry_run:
-            state.record_games(games, folder, now)
-            state.record_articles(news.unseen(news.drop_non_news(articles, now), seen), folder, now)
+        state.record_games(games, folder, now)
+        state.record_articles(kept, folder, now)
 
-    state.deliver(messages, send, commit)
+    channel = Stdout() if given.dry_run or given.channel == "stdout" else Telegram(settings.bot_token, settings.chat_id)
+    state.deliver(messages, channel.send, (lambda: None) if given.dry_run else commit)
     for name in failed:
         print(f"not read: {name}", file=sys.stderr)
     return 0

@@ -9,7 +9,7 @@ from larkspur.functions import text as X
 from larkspur.operators import grounding, links, render, summarize
 from larkspur.plans import brief
 from larkspur.settings import Settings, SettingsError
-from larkspur.streaming import state
+from larkspur.streaming import channels, state
 
 
 def one(spark, column, value, kind="string"):
@@ -79,7 +79,7 @@ def test_packing(spark, text, limit):
             now = block
         return out + [now] * bool(now)
 
-    assert pieces == plain(text) and all(len(p) <= limit for p in pieces)
+    assert pieces == plain(text) == channels.pieces(text, limit) and all(len(p) <= limit for p in pieces)
 
 
 @pytest.mark.parametrize("text, want", [("short", "short"), ("a bb ccc dddd", "a bb…"), ("abcdefghijkl", "abcdefgh…"), (" x   y ", "x y")])
@@ -174,8 +174,24 @@ def test_brief_command(spark, tmp_path, capsys, monkeypatch):
     team = {"id": 1, "full_name": "Utah Jazz"}
     (tmp_path / "games" / "2026-01-15.json").write_text(json.dumps({"data": [{"id": 1, "date": "2026-01-15", "status": "Final", "home_team_score": 9, "visitor_team_score": 7, "home_team": team, "visitor_team": team}]}))
     monkeypatch.setenv("LARKSPUR_STATE_FOLDER", str(tmp_path / "state"))
+    writers = [lambda p: "Nobody Atall won.", lambda p: "Jokić signs."]
+    assert brief.main([str(tmp_path), "--date", "2026-01-15", "--dry-run"], writers) == 0
+    assert "📰 NEWS\n\nJokić signs." in capsys.readouterr().out
+    assert brief.main([str(tmp_path), "--date", "2026-01-15", "--channel", "telegram"]) == 2
     assert brief.main([str(tmp_path), "--date", "2026-01-15"]) == 0
     first = capsys.readouterr().out
     assert "Jokić signs" in first and "Utah Jazz 7 @ Utah Jazz 9  (Final)" in first and "Close finish — decided by 2" in first
     assert brief.main([str(tmp_path), "--date", "2026-01-15"]) == 0
     assert "Jokić signs" not in capsys.readouterr().out
+
+
+def test_channels_answer(monkeypatch):
+    posted = []
+
+    class Answer:
+        __enter__ = __exit__ = lambda *_: None
+
+    monkeypatch.setattr(channels.urllib.request, "urlopen", lambda request, timeout: posted.append(request.data) or Answer())
+    assert channels.Telegram("t", "c").send("a\n\n" + "b" * 5000) and len(posted) == 3
+    monkeypatch.setattr(channels.urllib.request, "urlopen", lambda *_, **__: 1 / 0)
+    assert channels.Telegram("t", "c").send("a") is False
