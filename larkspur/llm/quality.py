@@ -24,7 +24,9 @@ SHRUNK = 1.5
 #: A bucket counts if its class counts differ from the expected ones by so many standard deviations.
 CERTAIN = 5.0
 #: Words kept by a worker before its table starts anew.
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
+#: Evidence against a text that is let pass, for low quality and for toxicity: one odd word alone doesn't take a clean text away.
+CAUTION = (2.0, 0.2)
 #: Raw components: text that the target leaves out, by its fault.
 TARGET, LOW, TOXIC = 0, 1, 2
 
@@ -112,7 +114,7 @@ class Models:
         return out.min(0)
 
 
-def fit(counts: np.ndarray, rows: list[int], drawn: float = DRAWN, shrunk: float = SHRUNK, certain: float = CERTAIN) -> Models:
+def fit(counts: np.ndarray, rows: list[int], drawn: float = DRAWN, shrunk: float = SHRUNK, certain: float = CERTAIN, caution: tuple[float, float] = CAUTION) -> Models:
     """Models of counts (classes by buckets) and of the number of rows of each class. A class without rows counts as no evidence."""
     counts = counts.astype(np.float64)
     out = []
@@ -125,7 +127,7 @@ def fit(counts: np.ndarray, rows: list[int], drawn: float = DRAWN, shrunk: float
         odd = np.abs(mine - expected) / np.sqrt(expected + 1)
         sure = np.maximum(odd[TARGET], odd[[LOW, TOXIC]]) >= certain
         out.append(np.where(sure, np.sign(ratio) * np.maximum(0, np.abs(ratio) - shrunk), 0))
-    return Models(np.concatenate(out, 1).astype(np.float32), tuple(math.log((rows[TARGET] + 1) / (rows[c] + 1)) for c in (LOW, TOXIC)))
+    return Models(np.concatenate(out, 1).astype(np.float32), tuple(math.log((rows[TARGET] + 1) / (rows[c] + 1)) + pass_ for c, pass_ in zip((LOW, TOXIC), caution)))
 
 
 def fit_models(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Models:
@@ -186,7 +188,7 @@ def importance(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col
             weights, at = [], 0
             while at < len(texts):  # some MB of text at a time
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
                     size += len(texts[end])
                     end += 1
                 weights.append(sent.value.weights(features, texts[at:end]))
