@@ -26,7 +26,7 @@ ORDERS = np.concatenate([_rng.permutation(HASHES) for _ in range(-(-TREES * DEEP
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

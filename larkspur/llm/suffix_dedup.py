@@ -24,7 +24,7 @@ from .common import text_batches, written
 #: Bytes of the leading token.
 TOKEN = 24
 #: Bytes of text whose anchors are found together.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: Runs of a range, about, and the most ranges.
 RANGE_RUNS, MOST_RANGES = 25_000, 10_000
 
