@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows in one Arrow batch sent to a Python worker. Texts vary widely in length, so batches stay short.
@@ -22,6 +25,20 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def lean(run: Callable) -> Callable:
+    """A task's function that gives free memory back at its end: workers are used again, and would keep what their largest task took."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 @contextlib.contextmanager
 def untracked():
     """No garbage collection while tables without cycles grow: walking them costs a third of the time. Ends with a look at what is new."""

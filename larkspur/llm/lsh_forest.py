@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, components, text_batches, with_links, written
+from .common import checkpointed, components, lean, text_batches, with_links, written
 
 #: Minimum hashes of a signature, trees (orders of the hashes), and the depths between which a tree's regions are cut.
 HASHES, TREES, SHALLOW, DEEP = 160, 32, 4, 6
@@ -127,7 +127,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 signs.append(signature(sets).tobytes() if len(sets) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary())], names=["id", "size", "one", "two", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, size long, one long, two long, signature binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id long, size long, one long, two long, signature binary")
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 8192]) for c in columns], names=FOREST)
 
     schema = ", ".join(f"{c} {'int' if c[0] == 'd' else 'long'}" for c in FOREST)
-    return classes.select("id", "signature", F.col("component").cast("long")).mapInArrow(run, schema)
+    return classes.select("id", "signature", F.col("component").cast("long")).mapInArrow(lean(run), schema)
 
 
 LEVELS = [f"d{d}" for d in range(DEEP - SHALLOW)]
@@ -198,7 +198,7 @@ def candidates(forest: DataFrame, with_components: bool) -> DataFrame:
         if held is not None and held.num_rows:
             yield from links(held)
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def sets_of(classes: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -216,7 +216,7 @@ def sets_of(classes: DataFrame, docs: DataFrame, n: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(classes.select("id", "one", "two"), "id").select("id", "text", "one", "two").mapInArrow(run, "id long, set binary")
+    return texts.join(classes.select("id", "one", "two"), "id").select("id", "text", "one", "two").mapInArrow(lean(run), "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +236,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(lean(check), "a long, b long")
 
 
 #: Members of a family that are compared together: those outside its largest component, by those of the whole family.
@@ -310,7 +310,7 @@ def family_links(families: DataFrame, named: DataFrame, sets: DataFrame, percent
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     ordered = met.select("family", "x", "y", "id", "component", "outside", "set").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def classes_met(ids: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, text_batches
+from .common import checkpointed, lean, text_batches
 
 #: Buckets of hashed single-word features and of word pairs.
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 17, 1 << 16
@@ -146,7 +146,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_
 
     # Of near copies one is counted, else the words of a text with many copies look like those of its class.
     kind = texts.schema["_id"].dataType.simpleString()
-    seen = texts.select("_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(sketches, f"_id {kind}, hash long, values array<long>")
+    seen = texts.select("_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(lean(sketches), f"_id {kind}, hash long, values array<long>")
     firsts = seen.select(F.struct("_id", "hash").alias("row"), F.posexplode("values").alias("i", "value")).groupBy("i", "value").agg(F.min("row").alias("row"))
     first = firsts.groupBy("row").count().where("count = 4").select("row._id", F.col("row.hash").alias("hash"))
     texts = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(first), ["_id", "hash"], "left_semi")
@@ -164,7 +164,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_
             at = np.flatnonzero(counts[c])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, c, np.int32)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[c][at], rows[c]))], names=["class", "bucket", "n"])
 
-    sums = texts.select("_class", "text").mapInArrow(run, "class int, bucket int, n long").groupBy("class", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.select("_class", "text").mapInArrow(lean(run), "class int, bucket int, n long").groupBy("class", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts, rows = np.zeros((3, BUCKETS), np.int64), [0, 0, 0]
     classes, buckets, n = (sums.column(i).to_numpy() for i in range(3))
     inner = buckets >= 0
@@ -197,7 +197,7 @@ def importance(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weight)], names=["key", "hash", "log_weight"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    scored = docs.select(F.col(id_col).alias("key"), text.alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, f"key {kind}, hash long, log_weight double")
+    scored = docs.select(F.col(id_col).alias("key"), text.alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(lean(run), f"key {kind}, hash long, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "key", "hash"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     return scored.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform)))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_batches, written
+from .common import lean, text_batches, written
 
 #: Bytes of the leading token.
 TOKEN = 24
@@ -183,7 +183,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.bool_()), pa.array([None if x is None else [{"first": f, "last": e} for f, e in x] for x in rows[6]], SPANS)], names=["key", "token", "digest", "start", "strings", "twice", "spans"])
 
-    found = written(texts.select("key", "text").mapInArrow(anchor, f"key binary, token long, digest long, start long, strings int, twice boolean, spans {SPANS_SQL}"))
+    found = written(texts.select("key", "text").mapInArrow(lean(anchor), f"key binary, token long, digest long, start long, strings int, twice boolean, spans {SPANS_SQL}"))
     runs = found.where("token is not null")
     # Equal runs, whole: one stands for all. `at` tells where its bytes are; copies of one text have the same places, so count once here.
     place = F.xxhash64("key", "start")
@@ -213,7 +213,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, token, "right").astype(np.int32)), pa.array(token), pa.array(digest, pa.int64()), pa.array(strings, pa.int32()), pa.array(content, pa.binary()), pa.array(np.isin(token, across))], names=["range", "token", "digest", "strings", "content", "across"])
 
     asked = open_kinds.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("token", "digest", "strings", F.col("at.start").alias("start"))).alias("asked"))
-    contents = texts.groupBy("key").agg(F.first("text").alias("text")).join(asked, "key").select("text", "asked").mapInArrow(cut, "range int, token long, digest long, strings int, content binary, across boolean")
+    contents = texts.groupBy("key").agg(F.first("text").alias("text")).join(asked, "key").select("text", "asked").mapInArrow(lean(cut), "range int, token long, digest long, strings int, content binary, across boolean")
     result = f"token long, digest long, strings int, spans {SPANS_SQL}"
 
     def sort_ranges(batches):
@@ -245,7 +245,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             yield done(held)
 
     inner = contents.where("not across").drop("across").repartition(ranges, "range").sortWithinPartitions("token", "digest")
-    partly = inner.drop("range").mapInArrow(sort_ranges, result)
+    partly = inner.drop("range").mapInArrow(lean(sort_ranges), result)
     if across:
         partly = partly.unionByName(compare_across(contents.where("across"), length, result))
     whole = kinds.where("whole").select("token", "digest", "strings", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("strings") + length - 1).cast("long").alias("last"))).alias("spans"))
@@ -265,7 +265,7 @@ def compare_across(contents: DataFrame, length: int, result: str) -> DataFrame:
                 twos = [int.from_bytes(x[8:], "little", signed=True) for x in made]
                 yield pa.RecordBatch.from_arrays([pa.array([token] * n, pa.int64()), pa.array([digest] * n, pa.int64()), pa.array([n] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=["token", "digest", "strings", "at", "one", "two"])
 
-    each = contents.mapInArrow(strings, "token long, digest long, strings int, at long, one long, two long")
+    each = contents.mapInArrow(lean(strings), "token long, digest long, strings int, at long, one long, two long")
     again = each.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     hit = each.join(again, ["one", "two"]).groupBy("token", "digest", "strings").agg(F.sort_array(F.collect_list("at")).alias("ats"))
 
@@ -278,7 +278,7 @@ def compare_across(contents: DataFrame, length: int, result: str) -> DataFrame:
                 found.append(spans_of(mark, length))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), as_spans(found)], names=["token", "digest", "strings", "spans"])
 
-    return hit.mapInArrow(spans, result)
+    return hit.mapInArrow(lean(spans), result)
 
 
 def keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 all_spans.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(numbers, pa.int64()), pa.array(digests), as_spans(all_spans)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    judged = without_repeats(docs, length, text_col).mapInArrow(run, f"key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS_SQL}")
+    judged = without_repeats(docs, length, text_col).mapInArrow(lean(run), f"key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS_SQL}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), F.unhex(F.md5(text)).alias("key"))
     return rows.join(judged, "key").drop("key")
@@ -354,7 +354,7 @@ def deduplicated(docs: DataFrame, length: int = 200, text_col: str = "text") ->
                 out.append(kept_bytes(raw, whole).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_key", "_kept"])
 
-    cleaned = without_repeats(docs, length, text_col).where(F.size("spans") > 0).mapInArrow(run, "_key binary, _kept string")
+    cleaned = without_repeats(docs, length, text_col).where(F.size("spans") > 0).mapInArrow(lean(run), "_key binary, _kept string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn("_k", F.unhex(F.md5(text)))
     rows = rows.join(cleaned, F.col("_k") == F.col("_key"), "left")
