@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpointed, lean, text_batches
 
-#: Buckets of hashed single-word features and of word pairs.
-WORD_BUCKETS, PAIR_BUCKETS = 1 << 17, 1 << 16
-BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
+#: Buckets of hashed single-word features, of word pairs and of word beginnings.
+WORD_BUCKETS, PAIR_BUCKETS, STEM_BUCKETS = 1 << 17, 1 << 16, 1 << 18
+BUCKETS = WORD_BUCKETS + PAIR_BUCKETS + STEM_BUCKETS
+#: Letters of a word's beginning: inflected or joined forms of a word are each too rare to be evidence, their beginning is not.
+STEM = 5
 #: Most labelled rows that models are fitted on; those of the smallest hashes are taken.
 FIT_ROWS = 30_000
 #: Rates of a bucket are drawn to the common one by so many counts.
@@ -23,6 +26,8 @@ DRAWN = 5.0
 SHRUNK = 1.5
 #: A bucket counts if its class counts differ from the expected ones by so many standard deviations.
 CERTAIN = 5.0
+#: For beginnings: so many standard deviations a bucket's counts differ by, and so many of its own log ratio are taken off that.
+STEM_CERTAIN, STEM_SHRUNK = 3.0, 2.0
 #: Words kept by a worker before its table starts anew.
 MOST_WORDS = 100_000
 #: Evidence against a text that is let pass, for low quality and for toxicity: one odd word alone doesn't take a clean text away.
@@ -32,10 +37,10 @@ TARGET, LOW, TOXIC = 0, 1, 2
 
 
 class Features(dict):
-    """Words to rows of two tables: buckets of their single-word features, and a hash for pairs."""
+    """Words to rows of two tables: buckets of their single-word features and of their beginning, and a hash for pairs."""
 
     def __init__(self) -> None:
-        self.buckets: list[tuple[int, int, int]] = []
+        self.buckets = array("i")
         self.hashes: list[int] = []
 
     def __missing__(self, word: str) -> int:
@@ -43,13 +48,15 @@ class Features(dict):
         tail = word[len(word.rstrip(MARKS)) :] if core else word
         shape = "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "d" if core.isdigit() else "l"
         low = core.lower()
-        found = self[word] = len(self.buckets)
-        self.buckets.append(tuple(xxhash.xxh3_64_intdigest(x) % WORD_BUCKETS for x in ("w" + low, "p" + tail, "s" + shape)))
+        found = self[word] = len(self.hashes)
+        self.buckets.extend(xxhash.xxh3_64_intdigest(x) % WORD_BUCKETS for x in ("w" + low, "p" + tail, "s" + shape))
+        # The last bucket is that of words too short, which say nothing.
+        self.buckets.append(WORD_BUCKETS + PAIR_BUCKETS + (xxhash.xxh3_64_intdigest("b" + low[:STEM]) % (STEM_BUCKETS - 1) if len(low) >= STEM else STEM_BUCKETS - 1))
         self.hashes.append(xxhash.xxh3_64_intdigest(low))
         return found
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets (words by 3), pair buckets (one for each word; -1 for the last of a text), and where texts begin."""
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of known words (by 4), the texts' words among them, pair buckets (one for each word; -1 for the last of a text), and where texts begin."""
         if len(self) > MOST_WORDS:
             self.clear()
             self.__init__()
@@ -59,7 +66,7 @@ class Features(dict):
             words += text.split()
             starts.append(len(words))
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        known = np.array(self.buckets, np.int32).reshape(-1, 3)
+        known = np.array(self.buckets, np.int32).reshape(-1, 4)
         hashes = np.array(self.hashes, np.uint64)[rows]
         pairs = np.full(len(words), -1, np.int64)
         if len(words) > 1:
@@ -71,14 +78,14 @@ class Features(dict):
         for longer in (1, 2, 3):  # a word said three, four, five times on end
             again = np.flatnonzero((pairs[1:] == longer - 1) & (pairs[:-1] == longer - 1)) + 1
             pairs[again] = longer
-        return known[rows], pairs, np.array(starts)
+        return known, rows, pairs, np.array(starts)
 
     def present(self, texts: list[str]) -> np.ndarray:
         """Buckets that each text has, once a text: a word said a thousand times in one text says no more of its class than one."""
-        buckets, pairs, starts = self.read(texts)
+        known, rows, pairs, starts = self.read(texts)
         text = np.repeat(np.arange(len(texts)), np.diff(starts))
         has = pairs >= 0
-        keys = np.concatenate([(text[:, None] * BUCKETS + buckets).reshape(-1), text[has] * BUCKETS + WORD_BUCKETS + pairs[has]])
+        keys = np.concatenate([(text[:, None] * BUCKETS + known[rows]).reshape(-1), text[has] * BUCKETS + WORD_BUCKETS + pairs[has]])
         return np.unique(keys) % BUCKETS
 
 
@@ -102,11 +109,11 @@ class Models:
 
     def weights(self, features: Features, texts: list[str]) -> np.ndarray:
         """Log importance weight of each text: against the raw component that explains it better."""
-        buckets, pairs, starts = features.read(texts)
+        known, rows, pairs, starts = features.read(texts)
         out = np.empty((2, len(texts)))
         for c in range(2):
             ratio = self.ratios[c]
-            each = ratio[buckets].sum(1)
+            each = ratio[known].sum(1)[rows]
             has = pairs >= 0
             each[has] += ratio[WORD_BUCKETS + pairs[has]]
             sums = np.concatenate([[0.0], np.cumsum(each)])
@@ -118,15 +125,20 @@ def fit(counts: np.ndarray, rows: list[int], drawn: float = DRAWN, shrunk: float
     """Models of counts (classes by buckets) and of the number of rows of each class. A class without rows counts as no evidence."""
     counts = counts.astype(np.float64)
     out = []
-    for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, BUCKETS)):
+    stems = WORD_BUCKETS + PAIR_BUCKETS
+    counts[:, -1] = 0
+    for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, stems), slice(stems, BUCKETS)):
         mine = counts[:, part]
         share = mine.sum(0) / max(mine.sum(), 1)
         expected = mine.sum(1)[:, None] * share[None, :]
         rate = np.log((mine + drawn) / (expected + drawn))
         ratio = rate[TARGET][None, :] - rate[[LOW, TOXIC]]
         odd = np.abs(mine - expected) / np.sqrt(expected + 1)
-        sure = np.maximum(odd[TARGET], odd[[LOW, TOXIC]]) >= certain
-        out.append(np.where(sure, np.sign(ratio) * np.maximum(0, np.abs(ratio) - shrunk), 0))
+        least, off = certain, shrunk
+        if part.start == stems:
+            least, off = STEM_CERTAIN, STEM_SHRUNK * np.sqrt(1 / (mine[TARGET] + drawn) + 1 / (mine[[LOW, TOXIC]] + drawn))
+        sure = np.maximum(odd[TARGET], odd[[LOW, TOXIC]]) >= least
+        out.append(np.where(sure, np.sign(ratio) * np.maximum(0, np.abs(ratio) - off), 0))
     return Models(np.concatenate(out, 1).astype(np.float32), tuple(math.log((rows[TARGET] + 1) / (rows[c] + 1)) + pass_ for c, pass_ in zip((LOW, TOXIC), caution)))
 
 
