@@ -48,12 +48,38 @@ def _html(texts: pd.Series) -> pd.Series:
     return texts.map(visible_text)
 
 
-def _ratio(new: pd.Series, old: pd.Series) -> pd.Series:
-    matcher, last, out = difflib.SequenceMatcher(), None, []
+def _places(text: str) -> dict[str, int]:
+    """Each letter's places in a text, as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _common(places: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of another text and the one of n letters whose places these are."""
+    every = (1 << n) - 1
+    rest = every
+    for c in other:
+        met = rest & places.get(c, 0)
+        rest = (rest + met | rest - met) & every
+    return n - rest.bit_count()
+
+
+def _ratio(new: pd.Series, old: pd.Series, least: float = 0.0) -> pd.Series:
+    matcher, last, places, out = difflib.SequenceMatcher(), None, {}, []
     for a, b in zip(new, old):
         if a is None or b is None:
             out.append(None)
             continue
+        if least:
+            mine = places.get(b)
+            if mine is None:
+                mine = places[b] = _places(b)
+            # Matching blocks are a common subsequence, so no ratio is above that of the longest.
+            if 2 * _common(mine, len(b), a) < least * (len(a) + len(b)):
+                out.append(0.0)
+                continue
         if b != last:
             matcher.set_seq2(b)
             last = b
@@ -62,6 +88,10 @@ def _ratio(new: pd.Series, old: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def similarity(new: Column, old: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two texts; its order matters: the new one first."""
-    return F.pandas_udf(_ratio, "double")(new, old)
+def similarity(new: Column, old: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp ratio of two texts; its order matters: the new one first. What is surely below `least` counts as 0."""
+
+    def ratio(new: pd.Series, old: pd.Series) -> pd.Series:
+        return _ratio(new, old, least)
+
+    return F.pandas_udf(ratio, "double")(new, old)

@@ -112,7 +112,7 @@ def similar_titles(articles: DataFrame, threshold: float = V.SIMILAR_TITLES, bat
     known = F.aggregate(F.zip_with("c1", "c", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     others = F.least(F.col("n1") - F.aggregate("c1", F.lit(0), lambda acc, x: acc + x), F.col("n") - F.aggregate("c", F.lit(0), lambda acc, x: acc + x))
     possible = met.where(2 * (known + others) >= threshold * (F.col("n") + F.col("n1")))
-    close = possible.withColumn("ratio", arrow.similarity(F.col("t1"), F.col("t"))).where(F.col("ratio") >= threshold).select(F.col("pos").alias("early"), F.col("p1").alias("late"), "ratio")
+    close = possible.withColumn("ratio", arrow.similarity(F.col("t1"), F.col("t"), threshold)).where(F.col("ratio") >= threshold).select(F.col("pos").alias("early"), F.col("p1").alias("late"), "ratio")
     return close.unionByName(equal)
 
 

@@ -371,13 +371,13 @@ def exact_title_dedup(spark, sf):
 
 @query()
 def near_dup_pairs(spark, sf):
-    return news.similar_titles(T.articles(spark, sf), batch=["source"])
+    return news.similar_titles(T.articles(spark, sf))
 
 
 @query()
 def near_dup_greedy(spark, sf):
     articles = T.articles(spark, sf)
-    return news.deduplicated(articles, articles.where("pos % 10 = 3"), batch=["source"]).select("article_id", "title")
+    return news.deduplicated(articles, articles.where("pos % 10 = 3")).select("article_id", "title")
 
 
 @query(f"WITH {ARTICLES} SELECT article_id FROM article WHERE article_id NOT IN (SELECT article_id FROM article WHERE pos % 10 = 3)")
