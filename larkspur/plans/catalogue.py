@@ -538,7 +538,7 @@ def brief_messages(spark, sf):
     articles, games = batch(T.articles(spark, sf)), batch(T.games(spark, sf))
     seen = articles.where("pos % 10 = 3").select("article_id")
     states = games.where("game_id % 3 = 0").select(G.state_hash().alias("state_hash"))
-    return brief(articles, games.where("game_id % 50 < 3"), seen, states, G.results_of(games), T.now(), ["batch"], community=COMMUNITY)
+    return brief(articles, games, seen, states, G.results_of(games), T.now(), ["batch"], community=COMMUNITY)
 
 
 @query("SELECT event_id, min(ts) AS seen_at FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_id % 4 = 0) GROUP BY event_id")
