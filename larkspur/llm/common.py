@@ -50,6 +50,17 @@ def untracked():
         gc.collect(0)
 
 
+def unused(taken, *wanted: str) -> list[str]:
+    """Column names like those wanted that none of those taken equals, whatever its case: a table's own columns are never touched."""
+    taken, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder that the cluster names; a local one only where none is named."""
     context = df.sparkSession.sparkContext
@@ -61,10 +72,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, which `release` removes."""
+    path = f"{shared_folder(spark).rstrip('/')}/larkspur/{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; where none is set, a temporary one of this machine, which only a local session may use."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="larkspur-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -73,9 +93,8 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a compressed table in the shared folder: for wide or long intermediate results. `release` removes the tables."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/larkspur/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,7 +121,7 @@ def with_start(df: DataFrame, groups: list[str], weight: Column, order: list[str
     Rows go by (chunk, order); rows equal in `order` are interchangeable.
     """
     chunks = chunk_count(rows, chunk_rows)
-    df = df.withColumns({"_w": weight.cast("long"), "_chunk": F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int")})
+    df = df.withColumns({"_w": weight.cast("long"), "_chunk": F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int")})  # operators call this on relations of their own columns
     keys = [*groups, "_chunk"]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumn("_local", F.sum("_w").over(inside) - F.col("_w"))

@@ -52,7 +52,7 @@ def parse_expression(text: str) -> list | None:
     Operators are and, or, with (any case), `with` binding most and `or` least, all to the left. Text after the longest well-formed
     beginning, such as a comment's end, is not of the expression.
     """
-    out, stack, best, wants = [], [], None, True
+    out, stack, best, wants, depth = [], [], None, True, 0
     for match in EXPRESSION_TOKEN.finditer(text):
         token = match[0].lower()
         if token in BINDS:
@@ -66,20 +66,22 @@ def parse_expression(text: str) -> list | None:
             if not wants:
                 break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if wants or "(" not in stack:
+            if wants or not depth:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         else:
             if not wants:
                 break
             out.append((token,))
             wants = False
-        if not wants and "(" not in stack:
-            best = out + stack[::-1]
-    return best
+        if not wants and not depth:
+            best = len(out), stack[::-1]  # at most one operator of each strength waits
+    return None if best is None else out[: best[0]] + best[1]
 
 
 def evaluate(polish: list, allowed: frozenset[str]) -> bool:
@@ -140,9 +142,10 @@ def scan_text(text: str, phrases: ahocorasick.Automaton, marks: ahocorasick.Auto
     expressions = []
     lower = raw.translate(LOWER_BYTES)
     if b":" in lower:
-        for end, _ in marks.iter(lower.decode("latin-1")):
-            stop = raw.find(b"\n", end)
-            line = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
+        found = list(marks.iter(lower.decode("latin-1")))
+        for (end, _), (after, size) in zip(found, [*found[1:], (len(raw) + 1, 0)]):
+            stop = raw.find(b"\n", end, after - size + 1)  # the line's end, or the next tag
+            line = raw[end + 1 : stop if stop >= 0 else after - size + 1].decode("utf-8", "replace")
             polish = parse_expression(line)
             if polish:
                 expressions.append((",".join(sorted(set(licences_of(polish)))), evaluate(polish, allowed)))

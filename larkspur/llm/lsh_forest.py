@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, components, lean, text_batches, with_links, written
+from .common import checkpointed, components, lean, text_batches, unused, with_links, written
 
 #: Minimum hashes of a signature, trees (orders of the hashes), and the depths between which a tree's regions are cut.
 HASHES, TREES, SHALLOW, DEEP = 160, 32, 4, 6
@@ -112,22 +112,28 @@ def regions(key: np.ndarray, deeper: np.ndarray):
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """For each row its id, the size and 128-bit digest of its set, and the set's signature."""
+    """For each row its id and a hash of its text, the size and 128-bit digest of its set, and the set's signature."""
     text_batches(docs.sparkSession)
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
             sizes, one, two, signs = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 sets = shingles(text or "", n, words)
                 sizes.append(len(sets))
                 for half, value in zip((one, two), digest(sets)):
                     half.append(value)
                 signs.append(signature(sets).tobytes() if len(sets) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary())], names=["id", "size", "one", "two", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary())], names=["id", "hash", "size", "one", "two", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id long, size long, one long, two long, signature binary")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return given.mapInArrow(lean(run), "id long, hash long, size long, one long, two long, signature binary")
+
+
+def text_hash(text_col: str):
+    """With the id, what tells a row from rows of other texts."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -202,21 +208,22 @@ def candidates(forest: DataFrame, with_components: bool) -> DataFrame:
 
 
 def sets_of(classes: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, set) of classes (id, one, two), made again from their texts: only of those that stand in a pair, and once."""
+    """(id, set) of classes (id, doc, two), made again from the text of a document `doc` that bears it: only of those that stand in a pair, and once."""
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
             ids, sets = [], []
-            for id_, text, one, two in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, one, two in zip(*(c.to_pylist() for c in batch.columns)):
                 made = shingles(text or "", n, words)
                 if digest(made) == (one, two):
-                    ids.append(id_)
+                    ids.append(one)
                     sets.append(made.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(classes.select("id", "one", "two"), "id").select("id", "text", "one", "two").mapInArrow(lean(run), "id long, set binary")
+    wanted = classes.select(F.col("doc").alias("id"), F.col("id").alias("one"), "two")
+    return texts.join(wanted, "id").select("text", "one", "two").mapInArrow(lean(run), "id long, set binary").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -323,6 +330,34 @@ def with_component(classes: DataFrame, pairs: DataFrame, named: DataFrame) -> Da
     return classes_met(classes.select("id", "signature"), pairs).join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def classed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each input row: id, hash (of the text), size, label of its class (null: an empty set) and component (the smallest id of its class).
+
+    Classes stand for sets, not for ids: half of a set's digest is its number, and `doc` is the smallest id that bears it. So rows that give one id different
+    texts stand for themselves, each in the class of its own text.
+    """
+    rows = written(sketched(docs, id_col, text_col, n))
+    full = rows.where("id is not null and size > 0")
+    ids = checkpointed(full.groupBy("one", "two").agg(F.min("id").alias("doc")).select(F.col("one").alias("id"), "two", "doc"))
+    of_doc = ids.select(F.col("doc").alias("id"), F.col("id").alias("one"), "two")
+    classes = full.join(of_doc, ["id", "one", "two"], "left_semi").select(F.col("one").alias("id"), "signature")
+    tried = checkpointed(candidates(forest_rows(classes.withColumn("component", F.lit(0))), False))
+    held = written(sets_of(classes_met(ids, tried), docs, n, id_col, text_col))
+    sure = checkpointed(confirmed(tried, held, percent))
+    named = components(sure)
+    # What is left to compare: pairs across families one by one, those within a family block by block.
+    families = checkpointed(with_links(named, tried))
+    apart = candidates(forest_rows(with_component(classes, tried, families)), True)
+    more = checkpointed(confirmed(apart, held, percent).union(family_links(families, named, held, percent)))
+    named = with_links(named, more)
+    labels = checkpointed(ids.join(named, "id", "left").select(F.col("id").alias("one"), "two", "doc", F.coalesce("component", "id").alias("label")))
+    smallest = labels.groupBy("label").agg(F.min("doc").alias("component"))
+    of_set = labels.join(smallest, "label").select("one", "two", "label", "component")
+    joined = rows.join(of_set, ["one", "two"], "left")
+    mine = F.col("id").isNotNull() & (F.col("size") > 0)
+    return joined.select("id", "hash", "size", F.when(mine, F.col("label")).alias("label"), F.when(mine, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents linked by similar sets of word shingles.
 
@@ -337,33 +372,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     Returns one row for each input row: the id column, n_shingles, component_id (the smallest id reachable), kept (id = component_id).
     A null or wordless text has an empty set and is linked with nothing; ids are integers; rows of a null id stay alone, with a null component_id
-    and kept null, as nothing can be said of them; repeated rows are kept and fall into one class; where rows give one id different texts and it is the smallest of
-    several classes, only the class of the largest set is linked further; an empty table gives an empty one; other columns are not looked at.
+    and kept null, as nothing can be said of them; repeated rows are kept and fall into one class; rows that give one id different texts fall each into the class of
+    its own text; an empty table gives an empty one; other columns are not looked at.
     """
-    rows = written(sketched(docs, id_col, text_col, n))
-    full = rows.where("id is not null and size > 0")
-    sets = full.groupBy("one", "two").agg(F.min("id").alias("id"), F.max("size").alias("size"))
-    ids = checkpointed(sets.groupBy("id").agg(F.max(F.struct("size", "one", "two")).alias("s")).select("id", "s.one", "s.two"))
-    classes = full.join(ids, ["id", "one", "two"], "left_semi")  # with signatures
-    tried = checkpointed(candidates(forest_rows(classes.withColumn("component", F.lit(0))), False))
-    held = written(sets_of(classes_met(ids, tried), docs, n, id_col, text_col))
-    sure = checkpointed(confirmed(tried, held, percent))
-    named = components(sure)
-    # What is left to compare: pairs across families one by one, those within a family block by block.
-    families = checkpointed(with_links(named, tried))
-    apart = candidates(forest_rows(with_component(classes, tried, families)), True)
-    more = checkpointed(confirmed(apart, held, percent).union(family_links(families, named, held, percent)))
-    named = with_links(named, more)
-    of_set = full.groupBy("one", "two").agg(F.min("id").alias("class")).join(named.withColumnRenamed("id", "class"), "class", "left")
-    of_set = of_set.select("one", "two", F.coalesce("component", "class").alias("component"))
-    joined = rows.join(of_set, ["one", "two"], "left").withColumn("component", F.when(F.col("size") > 0, F.col("component")))
-    component = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    rows = classed(docs, n, percent, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class (that of the smallest id), with the input's columns; of rows equal in id one stays; rows of a null id all stay."""
-    gone = near_duplicates(docs, n, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    """One row of each class, with the input's columns, whatever their names: that of the smallest id, and of the smallest text hash among rows of that id.
+
+    Of rows equal in id and text one stays. A text without words is a class of its own with its id. Rows of a null id all stay. An empty table gives an empty one.
+    """
+    id_, hash_, own = unused(docs.columns, "id_of", "hash_of", "text_hash")
+    rows = classed(docs, n, percent, id_col, text_col).where("id is not null")
+    first = rows.where("id = component and label is not null").groupBy("label").agg(F.min(F.struct("id", "hash")).alias("stays"))
+    told = rows.join(first, "label", "left")
+    gone = told.where("label is not null and struct(id, hash) <> stays").select(F.col("id").alias(id_), F.col("hash").alias(hash_)).distinct()
+    marked = docs.withColumn(own, text_hash(text_col))
+    left = marked.join(gone, (marked[id_col].cast("long") == gone[id_]) & (marked[own] == gone[hash_]), "left_anti")
+    once = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, own])
+    return once.unionByName(left.where(F.col(id_col).isNull())).drop(own)

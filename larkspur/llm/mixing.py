@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, with_start
+from .common import checkpointed, unused, with_start
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,20 +34,27 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
-def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """A pseudorandom permutation of 0..size-1, at each index: a Feistel network of four rounds, walked until it falls inside."""
+def permuted(index: np.ndarray, size: int, seed: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0..size-1, at each index, or its inverse: a Feistel network of four rounds, walked until it falls inside."""
     half = max(1, (max(1, size - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     out, todo = index.astype(np.uint64), np.ones(len(index), bool)
+
+    def mixed(part: np.ndarray, turn: int) -> np.ndarray:
+        key = np.uint64((seed * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03 + 1) & 0xFFFFFFFFFFFFFFFF)
+        x = (part + key) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        return (x >> np.uint64(29)) & mask
+
     while todo.any():
         x = out[todo]
         left, right = x >> np.uint64(half), x & mask
-        for turn in range(4):
-            key = np.uint64((seed * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03 + 1) & 0xFFFFFFFFFFFFFFFF)
-            mixed = (right + key) * np.uint64(0xFF51AFD7ED558CCD)
-            mixed ^= mixed >> np.uint64(33)
-            mixed *= np.uint64(0xC4CEB9FE1A85EC53)
-            left, right = right, left ^ ((mixed >> np.uint64(29)) & mask)
+        for turn in range(3, -1, -1) if back else range(4):
+            if back:
+                left, right = right ^ mixed(left, turn), left
+            else:
+                left, right = right, left ^ mixed(right, turn)
         x = (left << np.uint64(half)) | right
         out[todo] = x
         todo = out >= np.uint64(size)
@@ -118,7 +125,7 @@ def plan_mix(docs: DataFrame, extra: list[str], id_col: str, text_col: str, sour
                     of = np.flatnonzero(mine)[epoch[mine] == e]
                     order = at[epoch[mine] == e]
                     index[of] = permuted(order, b, seed + 1_000_003 * int(s) + int(e))
-                    last = np.argmax(permuted(np.arange(b), b, seed + 1_000_003 * int(s) + int(e)) == b - 1) if b <= 1 << 20 else find_last(b, seed + 1_000_003 * int(s) + int(e))
+                    last = permuted(np.array([b - 1]), b, seed + 1_000_003 * int(s) + int(e), back=True)[0]  # place of the short block
                     before = order * block - (block - short) * (order > last)
                     take[of] = np.clip(w - e * n - before, 0, np.where(index[of] == b - 1, short, block))
             keep = take > 0
@@ -126,19 +133,11 @@ def plan_mix(docs: DataFrame, extra: list[str], id_col: str, text_col: str, sour
 
     drawn = spark.range(total).mapInArrow(run, "slot long, shard int, source_no int, epoch int, block long, take long")
     placed = with_start(rows, ["source"], F.col("size"), ["id", "hash"], rows.count())
-    placed = checkpointed(placed.join(F.broadcast(table), placed["source"].eqNullSafe(table["source"])).drop(table["source"]))
+    small = F.broadcast(table) if len(sizes) <= BROADCAST_SOURCES else table
+    placed = checkpointed(placed.join(small, placed["source"].eqNullSafe(table["source"])).drop(table["source"]))
     return Mix(placed, drawn, table, block)
 
 
-def find_last(size: int, seed: int) -> int:
-    """Place of the last block in the permutation, block by block."""
-    for at in range(0, size, 1 << 20):
-        found = np.flatnonzero(permuted(np.arange(at, min(size, at + (1 << 20))), size, seed) == size - 1)
-        if len(found):
-            return at + int(found[0])
-    raise AssertionError("a permutation holds every index")
-
-
 def pieces(mix: Mix) -> DataFrame:
     """Drawn words of each document: joins the blocks it lies in with the slots that drew them.
 
@@ -154,6 +153,8 @@ def pieces(mix: Mix) -> DataFrame:
 
 #: Words of a block.
 BLOCK_WORDS = 256
+#: Sources up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
@@ -179,18 +180,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: for each document and pass, a row of the input's columns whose text is the words drawn, with what lies between them.
 
-    A document drawn whole keeps its whole text. Documents without words are kept once. Otherwise as `mix_sources`.
+    A document drawn whole keeps its whole text. Documents without words, null texts among them, are kept once. Rows of one id and text under several sources
+    are documents of their own, each with the words drawn of its source; rows equal in id, text and source give as many rows as were drawn of them all, with
+    the other columns of one of them. Null ids and sources count like others, columns of any name stay, an empty table gives an empty one. Otherwise as `mix_sources`.
     """
     how = {"weights": (5, 2, 1), "share": 1.5, "most": 2.0, "block": BLOCK_WORDS, "seed": 17} | how
     if docs.isEmpty():
         return docs
     mix = plan_mix(docs, [], id_col, text_col, source_col, **how)
-    spans = pieces(mix).groupBy("id", "hash", "source_no", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"))
-    none = mix.rows.where("size = 0").select("id", "hash", "source_no", "start", F.lit(0).alias("epoch"), F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("_spans"))
-    spans = spans.unionByName(none).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "_spans")
-    texts = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).dropDuplicates([id_col, "_h", source_col])
-    joined = texts.join(spans, texts[id_col].eqNullSafe(spans["_id"]) & (texts["_h"] == spans["_hash"]))
-    return joined.withColumn(text_col, F.pandas_udf(cut_words, "string")(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    own_hash, own_source, key, hash_, source, spans = unused(docs.columns, "text_hash", "source_name", "key", "hash", "source_of", "spans")
+    drawn = pieces(mix).groupBy("id", "hash", "source", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(spans))
+    none = mix.rows.where("size = 0").select("id", "hash", "source", "start", F.lit(0).alias("epoch"), F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias(spans))
+    found = drawn.unionByName(none).select(F.col("id").alias(key), F.col("hash").alias(hash_), F.col("source").alias(source), spans)
+    texts = docs.withColumns({own_hash: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), own_source: F.col(source_col).cast("string")}).dropDuplicates([id_col, own_hash, own_source])
+    joined = texts.join(found, texts[id_col].eqNullSafe(found[key]) & (texts[own_hash] == found[hash_]) & texts[own_source].eqNullSafe(found[source]))
+    return joined.withColumn(text_col, F.pandas_udf(cut_words, "string")(F.col(text_col), F.col(spans))).select(*docs.columns)
 
 
 def cut_words(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, lean, text_batches
+from .common import checkpointed, lean, text_batches, unused
 
 #: Buckets of hashed single-word features, of word pairs and of word beginnings.
 WORD_BUCKETS, PAIR_BUCKETS, STEM_BUCKETS = 1 << 17, 1 << 16, 1 << 18
@@ -258,8 +258,12 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of the sample, with the input's columns."""
-    kept = resample(docs, labels, id_col, text_col, **how).select(F.col(id_col).alias("_key"), F.col("hash").alias("_hash")).distinct()
-    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    marked = docs.withColumn("_text_hash", text)
-    return marked.join(kept, marked[id_col].eqNullSafe(kept["_key"]) & (marked["_text_hash"] == kept["_hash"]), "left_semi").drop("_text_hash")
+    """The rows of the sample, with the input's columns, whatever their names.
+
+    Rows equal in id and text stay or go together, so repeated rows stay repeated; null ids count, a null text counts as empty; an empty table gives an
+    empty one, and without labels all rows are as likely.
+    """
+    key, hash_, own = unused(docs.columns, "key", "hash", "text_hash")
+    kept = resample(docs, labels, id_col, text_col, **how).select(F.col(id_col).alias(key), F.col("hash").alias(hash_)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return marked.join(kept, marked[id_col].eqNullSafe(kept[key]) & (marked[own] == kept[hash_]), "left_semi").drop(own)

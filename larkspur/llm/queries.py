@@ -29,7 +29,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.transform(base, lambda m: m["label"])
     tagged = F.flatten(F.transform("expressions", lambda e: F.split(e["licences"], ",")))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"), joined(own).alias("base_labels"), joined(F.concat(F.transform("matches", lambda m: m["label"]), tagged)).alias("labels"), "score")
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"), joined(own).alias("base_labels"), joined(F.concat(F.transform("matches", lambda m: m["label"]), tagged)).alias("labels"), "score", F.forall("expressions", lambda e: e["permitted"]).alias("permitted"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lean, text_batches, written
+from .common import lean, text_batches, unused, written
 
 #: Bytes of the leading token.
 TOKEN = 24
@@ -336,7 +336,8 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def deduplicated(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
     """The documents without their repeated passages, with the input's columns; n_chars, if there, follows the text.
 
-    As `remove_repeats`, but a character stays whole if any of its bytes does. Rows whose text is null keep it; rows that lose everything keep an empty text.
+    As `remove_repeats`, but a character stays whole if any of its bytes does. Rows whose text is null keep it; rows that lose everything keep an empty text, so all
+    copies of a text of `length` bytes or more do; null ids and columns of any name stay as they are, and an empty table gives an empty one.
     """
 
     def run(batches):
@@ -352,14 +353,13 @@ def deduplicated(docs: DataFrame, length: int = 200, text_col: str = "text") ->
                         b -= 1
                     whole.append((a, b))
                 out.append(kept_bytes(raw, whole).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_key", "_kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "kept"])
 
-    cleaned = without_repeats(docs, length, text_col).where(F.size("spans") > 0).mapInArrow(lean(run), "_key binary, _kept string")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("_k", F.unhex(F.md5(text)))
-    rows = rows.join(cleaned, F.col("_k") == F.col("_key"), "left")
-    new = F.when(F.col("_key").isNull(), F.col(text_col)).otherwise(F.col("_kept"))
-    out = rows.withColumn(text_col, new)
+    own, key, kept = unused(docs.columns, "text_key", "key", "kept")
+    cleaned = without_repeats(docs, length, text_col).where(F.size("spans") > 0).mapInArrow(lean(run), "key binary, kept string").select(F.col("key").alias(key), F.col("kept").alias(kept))
+    rows = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    rows = rows.join(cleaned, F.col(own) == F.col(key), "left")
+    out = rows.withColumn(text_col, F.when(F.col(key).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.col(kept)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_key").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(key).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
