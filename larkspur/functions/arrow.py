@@ -1,12 +1,15 @@
-"""The three functions that Spark has no native form of, as Arrow-batched UDFs."""
+"""The three functions that Spark has no native form of, over Arrow batches."""
 
 from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from .text import SHAPES
@@ -22,22 +25,15 @@ def folded(x: Column) -> Column:
     return F.pandas_udf(_fold, "string")(x)
 
 
-class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.data: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        self.data.append(data)
-
-
 def visible_text(html: str | None) -> str | None:
     """Data between tags, joined by blanks and collapsed; markup left open at the end is not text."""
     if html is None:
         return None
-    parser = _Visible()
+    words: list[str] = []
+    parser = HTMLParser(convert_charrefs=True)
+    parser.handle_data = lambda data: words.extend(data.split())
     parser.feed(html)
-    return " ".join(" ".join(parser.data).split())
+    return " ".join(words)
 
 
 def html_text(x: Column) -> Column:
@@ -66,32 +62,54 @@ def _common(places: dict[str, int], n: int, other: str) -> int:
     return n - rest.bit_count()
 
 
-def _ratio(new: pd.Series, old: pd.Series, least: float = 0.0) -> pd.Series:
-    matcher, last, places, out = difflib.SequenceMatcher(), None, {}, []
-    for a, b in zip(new, old):
-        if a is None or b is None:
-            out.append(None)
-            continue
-        if least:
-            mine = places.get(b)
-            if mine is None:
-                mine = places[b] = _places(b)
-            # Matching blocks are a common subsequence, so no ratio is above that of the longest.
-            if 2 * _common(mine, len(b), a) < least * (len(a) + len(b)):
-                out.append(0.0)
-                continue
-        if b != last:
-            matcher.set_seq2(b)
-            last = b
-        matcher.set_seq1(a)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
-
-
-def similarity(new: Column, old: Column, least: float = 0.0) -> Column:
-    """Ratcliff-Obershelp ratio of two texts; its order matters: the new one first. What is surely below `least` counts as 0."""
-
-    def ratio(new: pd.Series, old: pd.Series) -> pd.Series:
-        return _ratio(new, old, least)
-
-    return F.pandas_udf(ratio, "double")(new, old)
+def ratio(new: str, old: str) -> float:
+    """Ratcliff-Obershelp ratio; its order matters: the new text first."""
+    return difflib.SequenceMatcher(None, new, old).ratio()
+
+
+#: Counters that letters, and pairs of letters, are hashed to.
+LETTERS, PAIRS = 32, 96
+
+
+def _shape(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letters = np.bincount(codes % LETTERS, minlength=LETTERS)
+    return np.concatenate([letters, np.bincount((codes[:-1] * 131 + codes[1:] * 7) % PAIRS, minlength=PAIRS)]).astype(np.int32)
+
+
+def close_pairs(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Of a block of titles (side, pos, title): those of side 0 with those of sides 1 and 2 whose ratio is at least the threshold; on side 1 only with earlier ones.
+
+    With S letters in both, matching blocks hold at least threshold * S / 2 letters and are at most S + 1 less twice these many, and a block of n letters holds
+    n - 1 letter pairs. What counts of letters and of pairs can't reach is not looked at further. The longest common subsequence is no shorter than the blocks.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        side, pos, titles = table.column("side").to_numpy(), table.column("pos").to_numpy(), table.column("title").to_pylist()
+        size = np.array([len(t) for t in titles], np.int64)
+        shapes = np.stack([_shape(t) for t in titles])
+        far = np.flatnonzero(side > 0)
+        far = far[np.argsort(size[far], kind="stable")]
+        sizes, far_shapes = size[far], shapes[far]
+        out: list[tuple[int, int, float]] = []
+        least = threshold / (2 - threshold)
+        for i in np.flatnonzero(side == 0).tolist():
+            low, high = np.searchsorted(sizes, [np.floor(size[i] * least), np.ceil(size[i] / least) + 1])
+            at = np.arange(low, high)
+            at = at[(side[far[at]] == 2) | (pos[far[at]] < pos[i])]
+            whole = size[i] + sizes[at]
+            fits = 2 * np.minimum(far_shapes[at, :LETTERS], shapes[i, :LETTERS]).sum(1) >= threshold * whole - 1e-6
+            at, whole = at[fits], whole[fits]
+            at = at[np.minimum(far_shapes[at, LETTERS:], shapes[i, LETTERS:]).sum(1) >= (1.5 * threshold - 1) * whole - 1 - 1e-6]
+            places = _places(titles[i]) if len(at) else {}
+            for j in far[at].tolist():
+                if 2 * _common(places, len(titles[i]), titles[j]) < threshold * (size[i] + size[j]) - 1e-6:
+                    continue
+                old, new = (i, j) if pos[i] < pos[j] else (j, i)
+                found = ratio(titles[new], titles[old])
+                if found >= threshold:
+                    out.append((int(pos[old]), int(pos[new]), found))
+        early, late, ratios = zip(*out) if out else ((), (), ())
+        return pa.table({"early": pa.array(early, pa.int64()), "late": pa.array(late, pa.int64()), "ratio": pa.array(ratios, pa.float64())})
+
+    return run

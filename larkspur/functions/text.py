@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -17,6 +17,22 @@ def literals(words: Iterable[str]) -> Column:
     return F.array(*(F.lit(w) for w in words)) if (words := list(words)) else F.array().cast("array<string>")
 
 
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of x, which is worked out once however often `then` names it."""
+    return F.transform(F.array(x), then)[0]
+
+
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that none of those taken equals, whatever its case."""
+    taken, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def stripped(x: Column, chars: str | None = None) -> Column:
     """Without white space (or the characters given) at both ends."""
     cls = SPACE if chars is None else "[" + escaped(chars) + "]"
@@ -128,11 +144,8 @@ def trimmed_name(x: Column, starters: Iterable[str] = V.SENTENCE_STARTERS) -> Co
     return F.when((F.size(parts) > 1) & first, F.array_join(F.slice(parts, 2, 10_000), " ")).otherwise(x)
 
 
-FIGURE = r"(\$\s?[\d,.]+\s?(?:million|billion|[MBKmbk])?|\b\d[\d,.]*\s?(?:million|billion)\b)"
-
-
 def figures(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(x, F.lit("(?i)" + FIGURE), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(x, F.lit("(?i)" + V.FIGURE), F.lit(1)))
 
 
 def digits(x: Column) -> Column:
@@ -140,7 +153,7 @@ def digits(x: Column) -> Column:
 
 
 def has_preamble(x: Column) -> Column:
-    return stripped(x).rlike(r"(?i)^(here (is|are)|in (nba|the nba) news|the nba (offseason|season)\b)")
+    return stripped(x).rlike("(?i)" + V.PREAMBLE)
 
 
 def truncated(x: Column, limit: int = V.SUMMARY_CHARS) -> Column:

@@ -26,4 +26,13 @@ BLOWOUT, CLOSE, HIGH_TOTAL, COMEBACK, BIG_PERIOD, SWING = 20, 5, 250, 15, 40, 20
 FEEDS = ("espn", "cbs", "yahoo", "r/nba")
 ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 SCORES_HEAD, NOTABLE_HEAD, NEWS_HEAD, MARK = "🏀 SCORES", "📊 NOTABLE", "📰 NEWS", "⚠️"
+MESSAGE_SEPARATOR = "\n---\n"
+FIGURE = r"(\$\s?[\d,.]+\s?(?:million|billion|[MBK])?|\b\d[\d,.]*\s?(?:million|billion)\b)"
+PREAMBLE = r"^(here (is|are)|in (nba|the nba) news|the nba (offseason|season)\b)"
+LEGEND = "{mark} these names never appear in the same source article, so the link between them is not something the sources reported."
+MISSING = "Missing this run: {names}. Those stories are not in the brief."
+SUBMITTED_BY = r"(?is)submitted by\s*/u/\S+.*$"
+BRIEF_CHARS, ATTEMPTS = 1024, 3
+ITEMS_HEAD = "Summarise the following {n} NBA news items in at most {most} characters."
+NOTES_HEAD = "Write the brief from these {n} notes, in at most {most} characters. All {n} notes must appear in your answer — combine related ones into a single sentence rather than leaving any out. The notes are already in priority order; keep that order. Write one continuous piece of prose."
 # ----------------------------------------------------------------------------------------------------------------

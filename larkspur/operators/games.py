@@ -36,6 +36,7 @@ def with_metrics(games: DataFrame) -> DataFrame:
                 "total_points": F.col(_H) + F.col(_A),
                 "went_to_overtime": F.col("period") > 4,
                 "largest_deficit_overcome": back,
+                "largest_lead_lost": back,  # the same, as the other side sees it
                 "led_wire_to_wire": some & F.forall(run, lambda x: x > 0),
                 "biggest_period": F.coalesce(F.array_max(F.concat("home_periods", "away_periods")), F.lit(0)),
                 "second_half_swing": F.when((F.size("home_periods") < 4) | (F.size("away_periods") < 4), 0).otherwise(later),
@@ -89,19 +90,29 @@ def notable_games(games: DataFrame, batch: list[str]) -> DataFrame:
 
 
 def head_to_head(games: DataFrame, results: DataFrame, season_bounded: bool = False) -> DataFrame:
-    """Earlier results between the same two teams, whichever was at home: (game_id, home_wins, away_wins, meetings).
+    """Earlier results between the same two teams, whichever was at home: (game_id, home_wins, away_wins, meetings); games without any aren't there.
 
-    A tied result counts for the team that was away then. An equi-join on the unordered pair with the dates compared within it,
-    aggregated at once; `season_bounded` also asks for the same season.
+    A tied result counts for the team that was away then; a game's own result doesn't count for it. Results are summed by pair and day first, so the running
+    sums go over days, not meetings, and no result meets another; `season_bounded` starts them anew with each season.
     """
-    pair = lambda h, a: F.concat_ws("|", F.least(h, a), F.greatest(h, a))
-    now = games.select("game_id", F.col("home_team").alias("home"), F.col("away_team").alias("away"), F.to_date("start_time").alias("day"), pair("home_team", "away_team").alias("pair"))
-    then = results.select(F.col("game_id").alias("other"), F.when(F.col("home_score") > F.col("away_score"), F.col("home_team")).otherwise(F.col("away_team")).alias("winner"), "played_on", pair("home_team", "away_team").alias("pair"))
-    met = now.join(then, "pair").where("played_on < day AND other <> game_id")
-    if season_bounded:
-        met = met.where(X.season(F.col("played_on")) == X.season(F.col("day")))
-    won = lambda side: F.count_if(F.col("winner") == F.col(side))
-    return met.groupBy("game_id").agg(won("home").alias("home_wins"), won("away").alias("away_wins"), F.count("*").alias("meetings"))
+    first, second = F.least("home_team", "away_team"), F.greatest("home_team", "away_team")
+    pair = F.struct(first.alias("first"), second.alias("second"))
+    keys = ["pair", "season"] if season_bounded else ["pair"]
+    won = F.when(F.col("home_score") > F.col("away_score"), F.col("home_team")).otherwise(F.col("away_team"))
+    then = results.select("game_id", pair.alias("pair"), F.col("played_on").alias("day"), X.season(F.col("played_on")).alias("season"), (won == first).cast("long").alias("won"))
+    now = games.select("game_id", (F.col("home_team") == first).alias("home_first"), pair.alias("pair"), F.to_date("start_time").alias("day")).withColumn("season", X.season(F.col("day")))
+    daily = then.groupBy(*keys, "day").agg(F.count("*").alias("n"), F.sum("won").alias("won"))
+    asked = now.select(*keys, "day", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("won")).distinct()
+    days = daily.unionByName(asked).groupBy(*keys, "day").agg(F.sum("n").alias("n"), F.sum("won").alias("won"))
+    before = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    sums = days.select(*keys, "day", F.sum("n").over(before).alias("n"), F.sum("won").over(before).alias("won")).where("n > 0")
+    own = then.select("game_id", *keys, F.col("day").alias("own_day"), F.col("won").alias("own_won"))
+    own = now.join(own, ["game_id", *keys]).where("own_day < day").groupBy("game_id").agg(F.count("*").alias("own_n"), F.sum("own_won").alias("own_won"))
+    met = now.join(sums, [*keys, "day"]).join(own, "game_id", "left")
+    n, wins = F.col("n") - F.coalesce("own_n", F.lit(0)), F.col("won") - F.coalesce("own_won", F.lit(0))
+    home = F.when(F.col("home_first"), wins).otherwise(n - wins)
+    away = F.when(F.col("pair.first") == F.col("pair.second"), wins).otherwise(n - home)
+    return met.select("game_id", home.alias("home_wins"), away.alias("away_wins"), n.alias("meetings")).where("meetings > 0")
 
 
 def series_context(games: DataFrame, results: DataFrame, season_bounded: bool = False) -> DataFrame:

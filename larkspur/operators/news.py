@@ -12,37 +12,44 @@ from ..functions import arrow, text as X, values as V
 def rejection_reason(now: Column, max_hours: int = V.MAX_AGE_HOURS, tags: Iterable[str] = V.REJECTED_TAGS, phrases: Iterable[str] = V.RETROSPECTIVE_PHRASES, community: Iterable[str] = V.COMMUNITY_SOURCES) -> Column:
     """Why an article is no news, by the first rule that says so; null if none does."""
     hours = (F.unix_micros(now) - F.unix_micros("published_at")) / 3.6e9
-    title = X.visible(F.col("title"))
-    tag = X.stripped(X.leading_tag(title))
-    told = F.lower(title)
-    reason = F.when(hours > max_hours, F.concat(F.lit(f"older than {max_hours}h ("), F.rint(hours).cast("long").cast("string"), F.lit("h)")))
-    reason = reason.when(F.lower(tag).isin(*tags), F.concat(F.lit("content-type tag ["), tag, F.lit("]")))
-    for phrase in phrases:
-        reason = reason.when(F.contains(told, F.lit(phrase)), f"retrospective phrase '{phrase}'")
-    reason = reason.when(F.lower(X.stripped(F.col("author"))).rlike("(_mod|moderator)$"), F.concat(F.lit("subreddit business, posted by "), "author"))
-    question = F.col("source").isin(*community) & (X.leading_tag(title) == "") & F.endswith(title, F.lit("?"))
-    return reason.when(question, "community discussion, an untagged question")
+    lead = lambda kind, what: F.concat(F.lit(kind), what)
+
+    def by_title(shown: Column) -> Column:
+        return X.let(F.struct(shown.alias("shown"), F.lower(shown).alias("told"), X.leading_tag(shown).alias("raw"), X.stripped(X.leading_tag(shown)).alias("tag")), rules)
+
+    def rules(title: Column) -> Column:
+        reason = F.when(hours > max_hours, F.concat(F.lit(f"older than {max_hours}h ("), F.rint(hours).cast("long").cast("string"), F.lit("h)")))
+        reason = reason.when(F.lower(title["tag"]).isin(*tags), F.concat(lead("content-type tag [", title["tag"]), F.lit("]")))
+        for phrase in phrases:
+            reason = reason.when(F.contains(title["told"], F.lit(phrase)), f"retrospective phrase '{phrase}'")
+        reason = reason.when(F.lower(X.stripped(F.col("author"))).rlike("(_mod|moderator)$"), lead("subreddit business, posted by ", F.col("author")))
+        question = F.col("source").isin(*community) & (title["raw"] == "") & F.endswith(title["shown"], F.lit("?"))
+        return reason.when(question, "community discussion, an untagged question")
+
+    return X.let(X.visible(F.col("title")), by_title)
 
 
 def ordinary_words(articles: DataFrame, batch: list[str] | None = None) -> DataFrame:
-    """Words that the batch also writes in lower case: (batch..., word)."""
+    """Words that the batch also writes in lower case: (batch..., word). Different spellings are told apart first, so each is cleaned once."""
     keys = batch or []
-    each = articles.select(*keys, F.explode(F.concat(X.tokens(F.col("title")), X.tokens(F.col("summary")))).alias("t")).where(F.col("t").rlike(r"^\p{Ll}"))
+    each = articles.select(*keys, F.explode(F.concat(X.tokens(F.col("title")), X.tokens(F.col("summary")))).alias("t")).distinct().where(F.col("t").rlike(r"^\p{Ll}"))
     return each.select(*keys, X.normalised_word(F.col("t")).alias("word")).where("word <> ''").distinct()
 
 
-def with_reasons(articles: DataFrame, now: Column, community: Iterable[str] = V.COMMUNITY_SOURCES, most: int = V.MAX_OPINION_WORDS, **rules) -> DataFrame:
+def with_reasons(articles: DataFrame, now: Column, community: Iterable[str] = V.COMMUNITY_SOURCES, most: int = V.MAX_OPINION_WORDS, batch: list[str] | None = None, **rules) -> DataFrame:
     """Articles with `reason`: the rules' own, or that of a short community post that opens with an ordinary word.
 
-    The first words of such posts are looked up among the ordinary words of all articles, by a hash join on the word.
+    The first words of such posts are looked up among the ordinary words of their batch (all articles, where none is named), by a hash join on the word.
     """
-    words = X.tokens(X.visible(F.col("title")))
-    opens = F.when(F.col("source").isin(*community) & (F.size(words) <= most), X.normalised_word(F.try_element_at(words, F.lit(1))))
-    marked = articles.withColumns({"_rule": rejection_reason(now, community=community, **rules), "_opens": opens})
-    known = ordinary_words(articles).withColumnRenamed("word", "_word")
-    joined = marked.join(known, F.col("_opens") == F.col("_word"), "left")
-    opinion = F.when(F.col("_word").isNotNull(), "community opinion, short and not led by a name")
-    return joined.withColumn("reason", F.coalesce("_rule", opinion)).drop("_rule", "_opens", "_word")
+    keys, (rule, opens, word) = batch or [], X.unused(articles.columns, "rule", "opens", "word")
+    first = X.let(X.tokens(X.visible(F.col("title"))), lambda words: F.when(F.size(words) <= most, X.normalised_word(F.try_element_at(words, F.lit(1)))))
+    marked = articles.withColumns({rule: rejection_reason(now, community=community, **rules), opens: F.when(F.col("source").isin(*community), first)})
+    known = ordinary_words(articles, keys)
+    known = known.select(F.col("word").alias(word), *(F.col(k).alias(f"{word}_{i}") for i, k in enumerate(keys)))
+    same = [F.col(opens) == F.col(word), *(F.col(k).eqNullSafe(F.col(f"{word}_{i}")) for i, k in enumerate(keys))]
+    joined = marked.join(known, same, "left")
+    opinion = F.when(F.col(word).isNotNull(), "community opinion, short and not led by a name")
+    return joined.withColumn("reason", F.coalesce(rule, opinion)).drop(rule, opens, *known.columns)
 
 
 def drop_non_news(articles: DataFrame, now: Column, **rules) -> DataFrame:
@@ -51,30 +58,34 @@ def drop_non_news(articles: DataFrame, now: Column, **rules) -> DataFrame:
 
 
 def tier(high: Iterable[str] = V.HIGH_WORDS, low: Iterable[str] = V.LOW_WORDS) -> Column:
-    words = X.subject_words(F.concat_ws(" ", "title", "summary"))
-    return F.when(F.arrays_overlap(words, X.literals(low)), "low").when(F.arrays_overlap(words, X.literals(high)), "high").otherwise("medium")
+    high, low = list(high), list(low)
+    overlap = lambda words, some: F.arrays_overlap(words, X.literals(some))
+    return X.let(X.subject_words(F.concat_ws(" ", "title", "summary")), lambda words: F.when(overlap(words, low), "low").when(overlap(words, high), "high").otherwise("medium"))
 
 
-def team_keywords(games: DataFrame) -> DataFrame:
-    """The last word of each team that plays: (keyword)."""
-    teams = games.select(F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
-    return teams.select(X.last_word(F.col("team")).alias("keyword")).where("keyword IS NOT NULL").distinct()
+def team_keywords(games: DataFrame, batch: list[str] | None = None) -> DataFrame:
+    """The last word of each team that plays: (batch..., keyword)."""
+    keys = batch or []
+    teams = games.select(*keys, F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
+    return teams.select(*keys, X.last_word(F.col("team")).alias("keyword")).where("keyword IS NOT NULL").distinct()
 
 
-def mentions_tonight(articles: DataFrame, keywords: DataFrame) -> DataFrame:
-    """article_id of articles that name a team that plays: a semi-join on their words."""
-    words = articles.select("article_id", F.explode(X.subject_words(F.concat_ws(" ", "title", "summary"))).alias("keyword"))
-    return words.join(keywords, "keyword", "left_semi").select("article_id").distinct()
+def mentions_tonight(articles: DataFrame, keywords: DataFrame, batch: list[str] | None = None) -> DataFrame:
+    """article_id (and batch) of articles that name a team that plays, in their batch: a semi-join on their words."""
+    keys = batch or []
+    words = articles.select(*keys, "article_id", F.explode(X.subject_words(F.concat_ws(" ", "title", "summary"))).alias("keyword"))
+    return words.join(keywords, [*keys, "keyword"], "left_semi").select(*keys, "article_id").distinct()
 
 
-def ranked(articles: DataFrame, games: DataFrame | None = None, high: Iterable[str] = V.HIGH_WORDS, low: Iterable[str] = V.LOW_WORDS) -> DataFrame:
-    """All articles, with `tier`, `tonight` and `rank_key`: by tier, then those that name a team that plays, then as they came."""
-    rows = articles.withColumn("tier", tier(high, low))
+def ranked(articles: DataFrame, games: DataFrame | None = None, high: Iterable[str] = V.HIGH_WORDS, low: Iterable[str] = V.LOW_WORDS, batch: list[str] | None = None) -> DataFrame:
+    """All articles, with `tier`, `tonight` and `rank_key`: by tier, then those that name a team that plays (in their batch), then as they came."""
+    keys, rows = batch or [], articles.withColumn("tier", tier(high, low))
     if games is None:
         rows = rows.withColumn("tonight", F.lit(False))
     else:
-        named = mentions_tonight(articles, team_keywords(games)).withColumn("_tonight", F.lit(True))
-        rows = rows.join(named, "article_id", "left").withColumn("tonight", F.coalesce("_tonight", F.lit(False))).drop("_tonight")
+        (flag,) = X.unused(rows.columns, "tonight_flag")
+        named = mentions_tonight(articles, team_keywords(games, keys), keys).withColumn(flag, F.lit(True))
+        rows = rows.join(named, [*keys, "article_id"], "left").withColumn("tonight", F.coalesce(flag, F.lit(False))).drop(flag)
     order = F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2)
     return rows.withColumn("rank_key", F.struct(order.alias("tier"), (~F.col("tonight")).alias("later"), F.col("pos").alias("pos")))
 
@@ -87,33 +98,48 @@ def dedup_hash(title: Column) -> Column:
     return F.sha2(X.normalised_title(title), 256)
 
 
-#: Letters whose counts bound how much of two titles can match.
-LETTERS = "abcdefghijklmnopqrstuvwxyz "
+#: Titles of one side, and of the other, that are compared in one task.
+NEAR_BLOCK, FAR_BLOCK = 1024, 4096
 
 
-def similar_titles(articles: DataFrame, threshold: float = V.SIMILAR_TITLES, batch: list[str] | None = None) -> DataFrame:
-    """Pairs (early, late, ratio) of articles of a batch whose normalised titles have at least this ratio.
+def title_firsts(articles: DataFrame, batch: list[str] | None = None) -> DataFrame:
+    """Different normalised titles of a batch by their first article: (batch..., pos, title)."""
+    return articles.groupBy(*(batch or []), X.normalised_title(F.col("title")).alias("title")).agg(F.min("pos").alias("pos"))
+
+
+def close_titles(firsts: DataFrame, threshold: float = V.SIMILAR_TITLES, batch: list[str] | None = None) -> DataFrame:
+    """Pairs (early, late, ratio) of different titles (batch..., pos, title) whose ratio, the later one's to the earlier one's, is at least the threshold.
 
     Titles meet in bands of length: a ratio of t needs lengths within t / (2 - t) of each other, so equal and adjacent bands of that width
-    hold every pair. What the letters' counts rule out goes before any ratio is taken. Titles that are equal after normalising are linked to
-    the first of them only, and only the first is compared with others.
+    hold every pair. A band is dealt into blocks, so however many titles it has, no task holds more than a block of either side; only pairs
+    that pass come out. In a block, counts of letters and of letter pairs rule out most; then the longest common subsequence; then the ratio is taken.
     """
     keys = batch or []
     width = -F.log(F.lit(threshold / (2 - threshold)))
-    title = X.normalised_title(F.col("title"))
-    rows = articles.select(*keys, "pos", title.alias("t")).withColumn("n", F.length("t"))
-    same = rows.groupBy(*keys, "t", "n").agg(F.min("pos").alias("first"))
-    equal = rows.join(same.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("t", "_t"), [F.col("t") == F.col("_t"), *(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)]).where("pos > first")
-    equal = equal.select(F.col("first").alias("early"), F.col("pos").alias("late"), F.lit(1.0).alias("ratio"))
-    shaped = same.select(*keys, F.col("first").alias("pos"), "t", "n").withColumn("c", F.transform(X.literals(LETTERS), lambda x: F.length("t") - F.length(F.replace(F.col("t"), x, F.lit("")))))
-    shaped = shaped.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / width))
-    left = shaped.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("pos").alias("p1"), F.col("t").alias("t1"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"))
-    met = left.join(shaped, [left["band"] == shaped["band"], *(left[f"_{k}"].eqNullSafe(shaped[k]) for k in keys)]).where("p1 > pos")
-    known = F.aggregate(F.zip_with("c1", "c", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    others = F.least(F.col("n1") - F.aggregate("c1", F.lit(0), lambda acc, x: acc + x), F.col("n") - F.aggregate("c", F.lit(0), lambda acc, x: acc + x))
-    possible = met.where(2 * (known + others) >= threshold * (F.col("n") + F.col("n1")))
-    close = possible.withColumn("ratio", arrow.similarity(F.col("t1"), F.col("t"), threshold)).where(F.col("ratio") >= threshold).select(F.col("pos").alias("early"), F.col("p1").alias("late"), "ratio")
-    return close.unionByName(equal)
+    shaped = firsts.withColumn("band", F.floor(F.log(F.greatest(F.length("title"), F.lit(1)).cast("double")) / width))
+    sizes = shaped.groupBy(*keys, "band").agg(F.count("*").alias("n"))
+    beside = sizes.select(*keys, (F.col("band") - 1).alias("band"), F.col("n").alias("above"))
+    plan = sizes.join(beside, [*keys, "band"], "full").select(*keys, "band", *(F.greatest(F.ceil(F.coalesce(c, F.lit(0)) / size), F.lit(1)).cast("int").alias(name) for c, size, name in (("n", NEAR_BLOCK, "xs"), (F.coalesce("n", F.lit(0)) + F.coalesce("above", F.lit(0)), FAR_BLOCK, "ys"))))
+    deal = lambda n: F.pmod(F.xxhash64("pos"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    near = shaped.join(plan, [*keys, "band"]).select(*keys, "band", deal("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "pos", "title")
+    far = shaped.withColumn("side", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("band", F.col("band") - F.col("side") + 1)
+    far = far.join(plan, [*keys, "band"]).select(*keys, "band", every("xs").alias("x"), deal("ys").alias("y"), "side", "pos", "title")
+    met = near.unionByName(far).groupBy(*keys, "band", "x", "y")
+    return met.applyInArrow(arrow.close_pairs(threshold), "early long, late long, ratio double")
+
+
+def similar_titles(articles: DataFrame, threshold: float = V.SIMILAR_TITLES, batch: list[str] | None = None) -> DataFrame:
+    """Pairs (early, late, ratio) of articles of a batch whose normalised titles have at least this ratio.
+
+    Titles that are equal after normalising are linked to the first of them, and only the first is linked with other titles: what holds of it
+    holds of those that repeat it.
+    """
+    keys, firsts = batch or [], title_firsts(articles, batch)
+    rows = articles.select(*keys, F.col("pos").alias("late"), X.normalised_title(F.col("title")).alias("title"))
+    equal = rows.join(firsts, [*(rows[k].eqNullSafe(firsts[k]) for k in keys), rows["title"] == firsts["title"]]).where("late > pos")
+    equal = equal.select(F.col("pos").alias("early"), "late", F.lit(1.0).alias("ratio"))
+    return close_titles(firsts, threshold, batch).unionByName(equal)
 
 
 def first_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -132,7 +158,13 @@ def first_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def deduplicated(articles: DataFrame, seen: DataFrame, threshold: float = V.SIMILAR_TITLES, batch: list[str] | None = None) -> DataFrame:
-    """Unseen articles, less those whose title is like that of one kept before. `pos` must be unique."""
+    """Unseen articles, less those whose title is like that of one kept before. `pos` must be unique; a null title is like none.
+
+    Of equal titles only the first can be kept: where it is dropped, what dropped it stands before all that repeat it.
+    """
+    from ..streaming.state import cut
+
     fresh = unseen(articles, seen)
-    kept = first_kept(fresh, similar_titles(fresh, threshold, batch))
-    return fresh.join(kept, "pos", "left_semi")
+    firsts = cut(title_firsts(fresh.where("title IS NOT NULL"), batch))
+    kept = first_kept(firsts, cut(close_titles(firsts, threshold, batch)))
+    return fresh.join(kept.unionByName(fresh.where("title IS NULL").select("pos")), "pos", "left_semi")

@@ -62,14 +62,15 @@ def highlights(notable: DataFrame, batch: list[str]) -> DataFrame:
 
 def headlines(stories: DataFrame, batch: list[str], place: str = "chain_pos", most: int = V.MAX_STORIES, limit: int = V.SUMMARY_CHARS) -> DataFrame:
     """The first stories of each batch by their leads, with who else covered them, and how many were left out."""
-    leads = stories.where("member_pos = 0").withColumn("_place", F.row_number().over(Window.partitionBy(*batch).orderBy(place)))
+    (at,) = X.unused(stories.columns, "place")
+    leads = stories.where("member_pos = 0").withColumn(at, F.row_number().over(Window.partitionBy(*batch).orderBy(place)))
     totals = leads.groupBy(*batch).agg(F.count("*").alias("total"))
-    shown = leads.where(F.col("_place") <= most).join(other_outlets(stories, batch), [*batch, "story_pos"])
+    shown = leads.where(F.col(at) <= most).join(other_outlets(stories, batch), [*batch, "story_pos"])
     also = F.when(F.size("others") > 0, F.concat(F.lit("  (also "), F.array_join("others", ", "), F.lit(")"))).when(F.col("more") > 0, F.concat(F.lit("  (+"), F.col("more").cast("string"), F.lit(" more)"))).otherwise("")
     summary = X.truncated(F.col("summary"), limit)
     by = F.coalesce(F.nullif("author", F.lit("")), F.col("source"))
     block = F.concat("title", F.lit("\n"), F.when(summary != "", F.concat(summary, F.lit("\n"))).otherwise(""), F.lit("— "), by, also)
-    body = lines_of(shown.withColumn("line", block), batch, "_place", "line", "\n\n").join(totals, batch)
+    body = lines_of(shown.withColumn("line", block), batch, at, "line", "\n\n").join(totals, batch)
     rest = F.col("total") - most
     tail = F.when(rest > 0, F.concat(F.lit("\n\n+ "), rest.cast("string"), F.lit(" more, ranked lower"))).otherwise("")
     return body.select(*batch, F.lit(2).alias("message_pos"), F.rtrim(F.concat(F.lit(V.NEWS_HEAD + "\n\n"), "body", tail)).alias("text"))
@@ -80,8 +81,8 @@ def written_news(summaries: DataFrame, batch: list[str], failed_sources: list[st
     mark = V.MARK
 
     marked = F.aggregate("unsupported", F.col("summary"), lambda acc, s: F.when((s != "") & (F.instr(acc, s) > 0), F.concat(F.substring(acc, F.lit(1), F.instr(acc, s) + F.length(s) - 1), F.lit(" " + mark), F.substring(acc, F.instr(acc, s) + F.length(s), F.length(acc)))).otherwise(acc))
-    legend = f"\n\n{mark} these names never appear in the same source article, so the link between them is not something the sources reported."
-    missing = f"\n\nMissing this run: {', '.join(failed_sources)}. Those stories are not in the brief." if failed_sources else ""
+    legend = "\n\n" + V.LEGEND.format(mark=mark)
+    missing = "\n\n" + V.MISSING.format(names=", ".join(failed_sources)) if failed_sources else ""
     return summaries.select(*batch, F.lit(2).alias("message_pos"), F.concat(F.lit(V.NEWS_HEAD + "\n\n"), marked, F.when(F.size("unsupported") > 0, legend).otherwise(""), F.lit(missing)).alias("text"))
 
 
@@ -102,15 +103,18 @@ def packed(text: Column, limit: int = V.MESSAGE_CHARS) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(folded)
 
 
-def prompt(articles: DataFrame, batch: list[str]) -> DataFrame:
-    """(batch..., prompt): how many stories, and each one's title and summary."""
-    line = F.concat(F.lit("- "), "title", F.when(F.col("summary") != "", F.concat(F.lit("\n  "), "summary")).otherwise(""))
-    rows = articles.withColumn("line", line)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    return rows.groupBy(*batch).agg(F.concat(F.lit("Stories: "), F.count("*").cast("string"), F.lit("\n\n"), F.array_join(listed, "\n")).alias("prompt"))
+def _head(form: str, n: Column, most: int) -> Column:
+    return F.replace(F.lit(form.replace("{most}", str(most))), F.lit("{n}"), n.cast("string"))
 
 
-def reduce_prompt(notes: Column) -> Column:
+def prompt(articles: DataFrame, batch: list[str], most: int = V.BRIEF_CHARS) -> DataFrame:
+    """(batch..., prompt): how many stories there are and how long the text may be, then each one's title and summary. A batch is what one prompt holds."""
+    summary = X.collapsed(F.col("summary"))
+    line = F.concat(F.lit("- "), "title", F.when(summary != "", F.concat(F.lit("\n  "), summary)).otherwise(""))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
+    return articles.groupBy(*batch).agg(F.concat(_head(V.ITEMS_HEAD, F.count("*"), most), F.lit("\n\n"), F.array_join(listed, "\n")).alias("prompt"))
+
+
+def reduce_prompt(notes: Column, most: int = V.BRIEF_CHARS) -> Column:
     """A prompt over the lines that notes have in common form."""
-    lines = F.flatten(F.transform(notes, X.note_lines))
-    return F.concat(F.lit("Notes: "), F.size(lines).cast("string"), F.lit("\n\n"), F.array_join(lines, "\n"))
+    return X.let(F.flatten(F.transform(notes, X.note_lines)), lambda lines: F.concat(_head(V.NOTES_HEAD, F.size(lines), most), F.lit("\n\n"), F.array_join(lines, "\n")))

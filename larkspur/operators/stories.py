@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
@@ -23,7 +24,7 @@ def rare_names(articles: DataFrame, batch: list[str], share: float = V.RARE_SHAR
 
 
 def story_pairs(articles: DataFrame, batch: list[str], shared: int = V.SHARED_NAMES, share: float = V.RARE_SHARE, floor: int = V.RARE_FLOOR) -> DataFrame:
-    """Pairs of titles of a batch with enough rare names in common: (batch..., early, late, shared). A rare name is borne by few titles, so it gives few pairs."""
+    """Pairs of titles of a batch with enough rare names in common: (batch..., early, late, shared). A name is rare up to a share of the batch, so in a large batch pairs grow as its square."""
     names = rare_names(articles, batch, share, floor)
     other = names.withColumnRenamed("pos", "late")
     both = names.withColumnRenamed("pos", "early").join(other, [*batch, "name"]).where("early < late")
@@ -77,26 +78,41 @@ def within_source_limits(leads: DataFrame, batch: list[str], limits: Mapping[str
     cap = F.lit(default)
     for source, limit in limits.items():
         cap = F.when(F.col("source") == source, limit).otherwise(cap)
-    return leads.withColumns({"_place": place, "_cap": cap}).where("_cap = 0 OR _place <= _cap").drop("_place", "_cap")
+    at, most = X.unused(leads.columns, "place", "cap")
+    return leads.withColumns({at: place, most: cap}).where((F.col(most) == 0) | (F.col(at) <= F.col(most))).drop(at, most)
+
+
+def dropped_by_source(leads: DataFrame, batch: list[str], limits: Mapping[str, int] = V.SOURCE_LIMITS, default: int = V.SOURCE_LIMIT) -> DataFrame:
+    """How many stories of each source its limit leaves out: (batch..., source, dropped)."""
+    kept = within_source_limits(leads, batch, limits, default).groupBy(*batch, "source").agg(F.count("*").alias("kept"))
+    every = leads.groupBy(*batch, "source").agg(F.count("*").alias("all"))
+    return every.join(kept, [*batch, "source"], "left").select(*batch, "source", (F.col("all") - F.coalesce("kept", F.lit(0))).alias("dropped")).where("dropped > 0")
 
 
 def chained(stories: DataFrame, batch: list[str]) -> DataFrame:
     """Stories (batch..., story_pos, words) with `chain_pos`: from the first story, always on to the one that shares most words, the earliest of equals.
 
-    Up to two stories stay as they are. A batch is what one brief may hold, some dozens of stories.
+    An index says which stories bear a word; those that are placed leave it, and where none of the rest shares a word, the earliest follows. A batch is what one
+    brief may hold, some dozens of stories.
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("story_pos").reset_index(drop=True)
-        words = [set(w) for w in rows["words"]]
-        order, left = [0], list(range(1, len(words)))
-        if len(words) <= 2:
-            order, left = list(range(len(words))), []
-        while left:
-            near = max(left, key=lambda i: (len(words[order[-1]] & words[i]), -i))
-            order.append(near)
-            left.remove(near)
-        return rows.iloc[order][[*batch, "story_pos"]].assign(chain_pos=range(len(order)))
+        bearers: dict[str, set[int]] = {}
+        for story, words in enumerate(rows["words"]):
+            for word in words:
+                bearers.setdefault(word, set()).add(story)
+        ahead, here, places = dict.fromkeys(range(len(rows))), 0, [0] * len(rows)
+        for place in range(len(rows)):
+            del ahead[here]
+            places[here] = place
+            shared: Counter[int] = Counter()
+            for word in rows["words"][here]:
+                bearers[word].discard(here)
+                shared.update(bearers[word])
+            most = max(shared.values(), default=0)
+            here = min((story for story, n in shared.items() if n == most), default=next(iter(ahead), None))
+        return rows[[*batch, "story_pos"]].assign(chain_pos=places)
 
     kinds = {f.name: f.dataType.simpleString() for f in stories.select(*batch).schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in batch) + ", story_pos int, chain_pos int"

@@ -11,7 +11,7 @@ from .grounding import validated
 from .render import prompt, reduce_prompt
 
 
-def first_sentences(text: str, most: int = 1024) -> str:
+def first_sentences(text: str, most: int = V.BRIEF_CHARS) -> str:
     """A writer that needs no model: the stories' titles as sentences."""
     titles = [line[2:].strip() for line in text.splitlines() if line.startswith("- ")]
     out = ""
@@ -23,19 +23,24 @@ def first_sentences(text: str, most: int = 1024) -> str:
     return out
 
 
-def chunked_prompts(articles: DataFrame, batch: list[str], chunk: int = V.CHUNK) -> DataFrame:
-    """(batch..., chunk, prompt): prompts over so many stories on end. `place` numbers a batch's articles from 0."""
-    return prompt(articles.withColumn("chunk", F.floor(F.col("place") / chunk).cast("int")), [*batch, "chunk"])
+def in_chunks(articles: DataFrame, chunk: int = V.CHUNK) -> DataFrame:
+    """Articles with `chunk`, of so many on end. `place` numbers a batch's articles from 0."""
+    return articles.withColumn("chunk", F.floor(F.col("place") / chunk).cast("int"))
 
 
-def written(articles: DataFrame, batch: list[str], write: Callable[[str], str | None], chunk: int = V.CHUNK) -> DataFrame:
+def chunked_prompts(articles: DataFrame, batch: list[str], chunk: int = V.CHUNK, most: int = V.BRIEF_CHARS) -> DataFrame:
+    """(batch..., chunk, prompt): prompts over so many stories on end."""
+    return prompt(in_chunks(articles, chunk), [*batch, "chunk"], most)
+
+
+def written(articles: DataFrame, batch: list[str], write: Callable[[str], str | None], chunk: int = V.CHUNK, most: int = V.BRIEF_CHARS) -> DataFrame:
     """(batch..., summary): a batch of at most `chunk` stories is written at once; of a larger one the chunks' notes first, then the whole."""
     ask = F.udf(lambda p: _ask(write, p), "string")  # a call a prompt, as a model is asked
     places = articles.groupBy(*batch).agg(F.count("*").alias("n"))
-    small = prompt(articles.join(places.where(F.col("n") <= chunk), batch), batch).select(*batch, ask("prompt").alias("summary"))
-    notes = chunked_prompts(articles.join(places.where(F.col("n") > chunk), batch), batch, chunk).select(*batch, "chunk", ask("prompt").alias("note"))
+    small = prompt(articles.join(places.where(F.col("n") <= chunk), batch), batch, most).select(*batch, ask("prompt").alias("summary"))
+    notes = chunked_prompts(articles.join(places.where(F.col("n") > chunk), batch), batch, chunk, most).select(*batch, "chunk", ask("prompt").alias("note"))
     listed = notes.groupBy(*batch).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "note"))), lambda x: F.coalesce(x["note"], F.lit(""))).alias("notes"))
-    large = listed.select(*batch, ask(reduce_prompt(F.col("notes"))).alias("summary"))
+    large = listed.select(*batch, ask(reduce_prompt(F.col("notes"), most)).alias("summary"))
     return small.unionByName(large).select(*batch, X.tidy(F.col("summary")).alias("summary"))
 
 
@@ -46,7 +51,7 @@ def _ask(write: Callable[[str], str | None], text: str) -> str | None:
         return None
 
 
-def safe_summaries(articles: DataFrame, key: str, writers: list[Callable[[str], str | None]], vocabulary: DataFrame | None = None, chunk: int = V.CHUNK) -> DataFrame:
+def safe_summaries(articles: DataFrame, key: str, writers: list[Callable[[str], str | None]], vocabulary: DataFrame | None = None, chunk: int = V.CHUNK, most: int = V.BRIEF_CHARS) -> DataFrame:
     """(key, summary, attempt): for each batch the first attempt that says nothing its sources don't; batches without one aren't there.
 
     One writer stands for one attempt. Batches with a safe text aren't written again.
@@ -55,7 +60,7 @@ def safe_summaries(articles: DataFrame, key: str, writers: list[Callable[[str],
 
     done, left = None, articles
     for attempt, write in enumerate(writers):
-        texts = cut(written(left, [key], write, chunk).where("summary <> ''"))
+        texts = cut(written(left, [key], write, chunk, most).where("summary <> ''"))
         good = validated(texts, left, key, vocabulary).where("is_safe").select(key)
         found = cut(texts.join(good, key, "left_semi").withColumn("attempt", F.lit(attempt)))
         done = found if done is None else done.unionByName(found)

@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import values as V
 from ..operators import games as G, grounding, news, render, stories, summarize
+from ..sources import writers
 from ..streaming.channels import Stdout, Telegram
 from ..streaming.state import cut
 
 
 def news_of(articles: DataFrame, games: DataFrame, seen_articles: DataFrame, now: Column, batch: list[str], **rules) -> tuple[DataFrame, DataFrame]:
-    """What passes the filter and is new, and its stories: filtered, ranked, then told apart by story before any cap."""
+    """What passes the filter, is new and repeats no title kept before it, and its stories: ranked, then told apart by story before any cap. All of it batch by batch."""
     # Cut where a relation is read several times below: the messages would each plan and read it anew.
-    kept = cut(news.unseen(news.drop_non_news(articles, now, **rules), seen_articles))
+    passed = cut(news.drop_non_news(articles, now, batch=batch, **rules))
+    kept = cut(news.deduplicated(passed, seen_articles, batch=batch))
     place = F.row_number().over(Window.partitionBy(*batch).orderBy("rank_key"))
-    ranked = cut(news.ranked(kept, games).withColumn("pos", place.cast("long")))
+    ranked = cut(news.ranked(kept, games, batch=batch).withColumn("pos", place.cast("long")))
     return kept, cut(stories.build_stories(ranked, batch))
 
 
@@ -48,10 +50,33 @@ def summarised(told: DataFrame, vocabulary: DataFrame, batch: str, writers: list
     return render.written_news(marked, [batch], failed).unionByName(render.headlines(rest, [batch]))
 
 
-def main(arguments: list[str] | None = None, writers: list[Callable[[str], str | None]] | None = None) -> int:
+def show(messages: DataFrame) -> int:
+    """Print a brief's few messages, each with its number and length."""
+    texts = [row.text for row in messages.orderBy("message_pos").collect()]
+    for i, text in enumerate(texts, 1):
+        print(f"\n--- message {i} of {len(texts)} ({len(text)} chars) ---\n{text}")
+    print()
+    return len(texts)
+
+
+def chosen_writers(name: str, settings, attempts: int = V.ATTEMPTS) -> list[Callable[[str], str | None]]:
+    """Writers of a run: none, the titles, or a model asked so many times. `auto` takes the hosted model, else the local one, if one is set."""
+    if name == "auto":
+        name = "hosted" if settings.prefers_hosted_summariser else "local" if settings.local_url and settings.local_model else "none"
+    if name == "none":
+        return []
+    if name == "titles":
+        return [summarize.first_sentences]
+    if name == "hosted":
+        return [writers.hosted_model(settings.hosted_key, settings.hosted_model)] * attempts
+    return [writers.local_model(settings.local_url, settings.local_model)] * attempts
+
+
+def main(arguments: list[str] | None = None, write_with: list[Callable[[str], str | None]] | None = None) -> int:
     """Read landed feeds and a day's games, print or deliver the brief, and record what was delivered.
 
-    Each of `writers` is one attempt at a written text; without any, and where none is safe, the news are headlines.
+    Each writer is one attempt at a written text; without any, and where none is safe, the news are headlines. Gives 0, also when there is nothing new; 1 when
+    nothing arrived or delivery isn't set up; 2 for settings that can't be used.
     """
     from ..settings import Settings, SettingsError
     from ..sources import feeds, games as game_source
@@ -62,16 +87,21 @@ def main(arguments: list[str] | None = None, writers: list[Callable[[str], str |
     parser.add_argument("--date", type=datetime.date.fromisoformat, default=None)
     parser.add_argument("--dry-run", action="store_true", help="print, record nothing")
     parser.add_argument("--channel", choices=("stdout", "telegram"), default="stdout")
+    parser.add_argument("--writer", choices=("auto", "none", "titles", "local", "hosted"), default="auto")
     parser.add_argument("--no-summary", action="store_true", help="headlines only")
     parser.add_argument("--log-level", default="WARN")
     given = parser.parse_args(arguments)
     try:
         settings = Settings.from_env()
-        if given.channel == "telegram" and not given.dry_run:
-            settings.require_delivery()
     except SettingsError as wrong:
         print(wrong, file=sys.stderr)
         return 2
+    if given.channel == "telegram" and not given.dry_run:
+        try:
+            settings.require_delivery()
+        except SettingsError as wrong:
+            print(wrong, file=sys.stderr)
+            return 1
     spark = SparkSession.builder.getOrCreate()
     spark.sparkContext.setLogLevel(given.log_level)
     day = given.date or datetime.datetime.now(datetime.timezone.utc).date()
@@ -84,18 +114,23 @@ def main(arguments: list[str] | None = None, writers: list[Callable[[str], str |
     states = state.read_or_empty(spark, f"{folder}/seen_games", "state_hash string, game_id long, seen_at timestamp")
     kept, told = news_of(articles, games, seen, now, ["batch"])
     parts = games_of(games, states, state.results_history(spark, folder), ["batch"])
-    told_as = render.headlines(told, ["batch"]) if given.no_summary or not writers else summarised(told, articles, "batch", writers, failed)
+    attempts = [] if given.no_summary else chosen_writers(given.writer, settings) if write_with is None else write_with
+    told_as = summarised(told, articles, "batch", attempts, failed) if attempts else render.headlines(told, ["batch"])
     messages = state.cut(parts.unionByName(told_as))
+    for name in failed:
+        print(f"not read: {name}", file=sys.stderr)
+    if given.dry_run:
+        show(messages)
+        return 0
+    if messages.isEmpty():
+        return 0
 
     def commit() -> None:
         state.record_games(games, folder, now)
         state.record_articles(kept, folder, now)
 
-    channel = Stdout() if given.dry_run or given.channel == "stdout" else Telegram(settings.bot_token, settings.chat_id)
-    state.deliver(messages, channel.send, (lambda: None) if given.dry_run else commit)
-    for name in failed:
-        print(f"not read: {name}", file=sys.stderr)
-    return 0
+    channel = Stdout() if given.channel == "stdout" else Telegram(settings.bot_token, settings.chat_id)
+    return 0 if any(state.deliver(messages, channel.send, commit)) else 1
 
 
 if __name__ == "__main__":

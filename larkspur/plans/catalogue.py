@@ -250,13 +250,13 @@ def priority_tier(spark, sf):
     return T.articles(spark, sf).select("article_id", news.tier(HIGH, LOW).alias("tier"))
 
 
-TONIGHT = f"""tonight AS (SELECT DISTINCT word AS keyword FROM (SELECT unnest(regexp_extract_all(text, '[a-zà-ÿ]{{9,}}')) AS word FROM documents WHERE doc_id % 50 = 0))"""
+TONIGHT = f"""tonight AS (SELECT DISTINCT word AS keyword FROM (SELECT unnest(regexp_extract_all(text, '[a-zà-ÿ]{{9,}}')) AS word FROM benchmark))"""
 
 
 def _tonight(spark, sf):
     """Words that stand in for the names of teams."""
     words = F.explode(F.regexp_extract_all("text", F.lit("([a-zà-ÿ]{9,})"), F.lit(1)))
-    return T.table(spark, sf, "documents").where("doc_id % 50 = 0").select(words.alias("keyword")).distinct()
+    return T.table(spark, sf, "benchmark").select(words.alias("keyword")).distinct()
 
 
 @query(f"WITH {ARTICLES}, {TONIGHT}, w AS (SELECT DISTINCT article_id, unnest({subject('''title || ' ' || summary''')}) AS keyword FROM article) SELECT DISTINCT article_id FROM w WHERE keyword IN (SELECT keyword FROM tonight)")
@@ -338,7 +338,7 @@ def strip_html_text(spark, sf):
 MONEY = "text || ' $' || CAST(doc_id AS VARCHAR) || '.5M and ' || CAST(doc_id % 7 AS VARCHAR) || ' million'"
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all({MONEY}, {q('(?i)' + X.FIGURE)}))) AS figure FROM documents")
+@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all({MONEY}, {q('(?i)' + V.FIGURE)}))) AS figure FROM documents")
 def figure_extract(spark, sf):
     text = F.concat("text", F.lit(" $"), F.col("doc_id").cast("string"), F.lit(".5M and "), (F.col("doc_id") % 7).cast("string"), F.lit(" million"))
     return T.table(spark, sf, "documents").select("doc_id", F.explode(X.figures(text)).alias("figure"))
@@ -426,10 +426,11 @@ refuted AS (SELECT DISTINCT conv_id, name FROM met WHERE len(other) >= len(mine)
 judged AS (SELECT n.*, coalesce(source, '') AS source, regexp_replace(coalesce(source, ''), '[''’](?:s\\b|\\b)', '', 'g') AS said, r.name IS NOT NULL AS refuted FROM named n LEFT JOIN src USING (conv_id) LEFT JOIN refuted r ON r.conv_id = n.conv_id AND r.name = n.name)"""
 
 
-@query(
-    f"""WITH {GROUNDED} SELECT conv_id, name, CASE WHEN contains(source, folded) THEN true WHEN len(words) = 0 THEN false WHEN len(list_filter(words, lambda w: NOT list_contains({array(V.COMPETITION_WORDS)}, w))) = 0 THEN true
-    WHEN refuted THEN false WHEN len(list_filter(words, lambda w: NOT {said('w')})) = 0 THEN true ELSE {said('words[-1]')} OR {said('words[1]')} END AS grounded FROM judged"""
-)
+IS_GROUNDED = f"""CASE WHEN contains(source, folded) THEN true WHEN len(words) = 0 THEN false WHEN len(list_filter(words, lambda w: NOT list_contains({array(V.COMPETITION_WORDS)}, w))) = 0 THEN true
+    WHEN refuted THEN false WHEN len(list_filter(words, lambda w: NOT {said('w')})) = 0 THEN true ELSE {said('words[-1]')} OR {said('words[1]')} END"""
+
+
+@query(f"WITH {GROUNDED} SELECT conv_id, name, {IS_GROUNDED} AS grounded FROM judged")
 def grounded_names(spark, sf):
     return grounding.ungrounded_names(T.claims(spark, sf), T.evidence(spark, sf), "conv_id")
 
@@ -457,7 +458,7 @@ def unsupported_sentences(spark, sf):
 
 
 @query(
-    f"""WITH {EVIDENCE}, c AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(summary || ' $' || CAST(conv_id % 40 AS VARCHAR) || 'M', {q('(?i)' + X.FIGURE)}))) AS figure FROM claim),
+    f"""WITH {EVIDENCE}, c AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(summary || ' $' || CAST(conv_id % 40 AS VARCHAR) || 'M', {q('(?i)' + V.FIGURE)}))) AS figure FROM claim),
     d AS (SELECT conv_id, regexp_replace(string_agg(title || ' ' || summary, ' ' ORDER BY pos, title, summary), '[^0-9]', '', 'g') || CAST(conv_id AS VARCHAR) AS digits FROM evidence GROUP BY conv_id)
     SELECT conv_id, figure, regexp_replace(figure, '[^0-9]', '', 'g') = '' OR contains(coalesce(digits, ''), regexp_replace(figure, '[^0-9]', '', 'g')) AS grounded FROM c LEFT JOIN d USING (conv_id)"""
 )
@@ -468,9 +469,18 @@ def figures_grounded(spark, sf):
     return grounding.ungrounded_figures(claims, held.unionByName(last), "conv_id")
 
 
-@query()
+@query(
+    f"""WITH {GROUNDED}, unsaid AS (SELECT conv_id, list(name ORDER BY name) AS names FROM judged WHERE NOT {IS_GROUNDED} GROUP BY conv_id),
+    told AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(summary, {q('(?i)' + V.FIGURE)}))) AS figure FROM claim),
+    digits AS (SELECT conv_id, regexp_replace(source, '[^0-9]', '', 'g') AS digits FROM src),
+    unheld AS (SELECT conv_id, list(figure ORDER BY figure) AS figures FROM told LEFT JOIN digits USING (conv_id) WHERE regexp_replace(figure, '[^0-9]', '', 'g') <> '' AND NOT contains(coalesce(digits, ''), regexp_replace(figure, '[^0-9]', '', 'g')) GROUP BY conv_id),
+    v AS (SELECT claim.conv_id, coalesce(names, []) AS names, coalesce(figures, []) AS figures, regexp_matches({strip('summary')}, {q('(?i)' + V.PREAMBLE)}) AS has_preamble FROM claim LEFT JOIN unsaid USING (conv_id) LEFT JOIN unheld USING (conv_id))
+    SELECT conv_id, array_to_string(names, '|') AS invented_names, array_to_string(figures, '|') AS invented_figures, has_preamble, len(names) = 0 AND len(figures) = 0 AS is_safe,
+           coalesce(nullif(concat_ws('; ', CASE WHEN len(names) > 0 THEN 'invented names: ' || array_to_string(names, ', ') END, CASE WHEN len(figures) > 0 THEN 'invented figures: ' || array_to_string(figures, ', ') END, CASE WHEN has_preamble THEN 'preamble present' END), ''), 'clean') AS description FROM v"""
+)
 def validated_summaries(spark, sf):
-    return grounding.validated(T.claims(spark, sf), T.evidence(spark, sf), "conv_id")
+    judged = grounding.validated(T.claims(spark, sf), T.evidence(spark, sf), "conv_id")
+    return judged.withColumns({c: F.array_join(c, "|") for c in ("invented_names", "invented_figures")})
 
 
 @query()
@@ -480,12 +490,20 @@ def safe_summaries(spark, sf):
     return summarize.safe_summaries(rows, "conv_id", [summarize.first_sentences])
 
 
-@query()
+@query(
+    """WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+    cut AS (SELECT doc_id, t, list_transform(string_split(t, chr(10) || chr(10)), lambda b: {'done': list_transform(generate_series(0, (length(b) - 1) // 1000 - 1), lambda i: substr(b, i * 1000 + 1, 1000)), 'now': substr(b, greatest((length(b) - 1) // 1000, 0) * 1000 + 1), 'whole': b}) AS blocks FROM d),
+    p AS (SELECT doc_id, t, list_reduce(blocks, lambda acc, x: CASE WHEN length(CASE WHEN acc.now = '' THEN x.whole ELSE acc.now || chr(10) || chr(10) || x.whole END) <= 1000
+            THEN {'done': acc.done, 'now': CASE WHEN acc.now = '' THEN x.whole ELSE acc.now || chr(10) || chr(10) || x.whole END, 'whole': ''}
+            ELSE {'done': list_concat(list_concat(acc.done, CASE WHEN acc.now = '' THEN [] ELSE [acc.now] END), x.done), 'now': x.now, 'whole': ''} END) AS r FROM cut),
+    pieces AS (SELECT doc_id, CASE WHEN length(t) <= 1000 THEN [t] WHEN r.now = '' THEN r.done ELSE list_append(r.done, r.now) END AS made FROM p)
+    SELECT doc_id, CAST(generate_subscripts(made, 1) - 1 AS INTEGER) AS piece_pos, unnest(made) AS piece FROM pieces"""
+)
 def message_chunks(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", F.posexplode(render.packed(F.replace("text", F.lit("\n"), F.lit("\n\n")), 1000)).alias("piece_pos", "piece"))
 
 
-@query(f"WITH {ARTICLES} SELECT source, 'Stories: ' || CAST(count(*) AS VARCHAR) || chr(10) || chr(10) || string_agg('- ' || title || CASE WHEN summary <> '' THEN chr(10) || '  ' || summary ELSE '' END, chr(10) ORDER BY pos) AS prompt FROM article GROUP BY source")
+@query(f"WITH {ARTICLES} SELECT source, replace({q(V.ITEMS_HEAD.replace('{most}', str(V.BRIEF_CHARS)))}, '{{n}}', CAST(count(*) AS VARCHAR)) || chr(10) || chr(10) || string_agg('- ' || title || CASE WHEN {collapse('summary')} <> '' THEN chr(10) || '  ' || {collapse('summary')} ELSE '' END, chr(10) ORDER BY pos) AS prompt FROM article GROUP BY source")
 def prompt_text(spark, sf):
     return render.prompt(T.articles(spark, sf), ["source"])
 
@@ -493,7 +511,7 @@ def prompt_text(spark, sf):
 @query(f"WITH {ARTICLES}, p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS place FROM article) SELECT source, CAST(place // {V.CHUNK} AS INTEGER) AS chunk, count(*) AS n, min(pos) AS first FROM p GROUP BY ALL")
 def chunks_of_five(spark, sf):
     rows = T.articles(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pos")) - 1)
-    return rows.groupBy("source", F.floor(F.col("place") / V.CHUNK).cast("int").alias("chunk")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return summarize.in_chunks(rows).groupBy("source", "chunk").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
 @query(f"""SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(replace(text, '. ', chr(10) || '- '), '\\r?\\n'), lambda l: {strip('l')}), lambda l: regexp_matches(l, '^[-*•]') OR (regexp_matches(l, '^[0-9]') AND contains(substr(l, 1, 3), '.')))) AS line FROM documents""")

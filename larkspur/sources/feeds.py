@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrow, text as X, values as V
 
@@ -26,7 +26,7 @@ def rss_items(raw: DataFrame, source: str) -> DataFrame:
 
 def atom_entries(raw: DataFrame, source: str) -> DataFrame:
     """Articles of Atom entries (schema ATOM_ENTRY, and pos): `updated` before `published`, the first link, and a summary only if it says something."""
-    visible = F.regexp_replace(arrow.html_text(F.col("content")), r"(?is)submitted by\s+/u/.*$", "")
+    visible = F.regexp_replace(arrow.html_text(F.col("content")), V.SUBMITTED_BY, "")
     summary = F.when(F.length(X.collapsed(visible)) >= V.MIN_SUMMARY_CHARS, X.collapsed(visible)).otherwise("")
     rows = raw.select(F.concat(F.lit(source + ":"), _blank_to_null("id")).alias("article_id"), _blank_to_null("title").alias("title"), F.nullif(X.stripped(F.try_element_at("link", F.lit(1))["_href"]), F.lit("")).alias("url"), F.coalesce(summary, F.lit("")).alias("summary"), X.rfc822(F.coalesce(_blank_to_null("updated"), _blank_to_null("published"))).alias("published_at"), _blank_to_null("author.name").alias("author"), F.lit(source).alias("source"), "pos")
     return rows.where("article_id IS NOT NULL AND title IS NOT NULL AND url IS NOT NULL AND published_at IS NOT NULL")
@@ -43,9 +43,17 @@ def parse_feed(texts: DataFrame, source: str, column: str = "xml") -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """A landed feed; bytes are read as UTF-8."""
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("xml"))
-    return parse_feed(raw, source)
+    """A landed feed, in the encoding that a byte order mark or the prolog names; UTF-8 where neither does or where it is not known."""
+    return parse_feed(spark.read.format("binaryFile").load(path).select(decoded(F.col("content")).alias("xml")), source)
+
+
+def decoded(content: Column) -> Column:
+    """Text of an XML document's bytes."""
+    start = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
+    told = F.upper(F.regexp_extract(start, r"""^[^<]*<\?xml[^>]*?encoding\s*=\s*["']([^"']+)["']""", 1))
+    wide = F.hex(F.substring(content, 1, 2)).isin("FEFF", "FFFE")
+    latin = told.isin("ISO-8859-1", "LATIN1", "LATIN-1", "ISO8859-1", "US-ASCII")
+    return F.when(wide, F.decode(content, "UTF-16")).when(latin, F.decode(content, "ISO-8859-1")).otherwise(F.regexp_replace(F.decode(content, "UTF-8"), "^\ufeff", ""))
 
 
 def fetch_all(spark: SparkSession, folder: str, names=V.FEEDS, catalogue: Mapping[str, str] = CATALOGUE) -> tuple[DataFrame, list[str]]:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Up to and with the first full stop, or up to the end of the line.
+FIRST_SENTENCE = r"^[^\n.!?]*[.!?]?"
+
 #: The fixed clock of these bindings.
 NOW = "2026-08-13 16:00:00"
 
@@ -17,9 +20,9 @@ def now() -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as articles: the first line is the title, the rest the summary; every so many titles get a tag, a phrase or a question mark."""
+    """documents as articles: the first sentence of the first line is the title, whatever follows it the summary; every so many titles get a tag, a phrase or a question mark."""
     n, text = F.col("doc_id"), F.col("text")
-    line = F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 199)
+    line = F.regexp_extract(text, FIRST_SENTENCE, 0)
     title = F.when(n % 11 == 0, F.concat(F.lit("[Highlight] "), line)).when(n % 13 == 0, F.concat(F.lit("On This Day: "), line)).when(n % 17 == 0, F.concat(line, F.lit(" ?"))).when(n % 29 == 0, F.concat(F.lit("\u200b[Image ] "), line)).otherwise(line)
     author = F.when(n % 7 == 0, None).when(n % 19 == 0, F.concat("source", F.lit("_MOD"))).otherwise(F.concat(F.lit("/u/"), "source"))
     hours = (n * 37 % 400).cast("int")
@@ -27,7 +30,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("source", F.lit(":"), n.cast("string")).alias("article_id"),
         title.alias("title"),
         F.concat(F.lit("https://example.com/"), n.cast("string")).alias("url"),
-        F.substring(text, F.length(F.split_part(text, F.lit("\n"), F.lit(1))) + 2, 1 << 30).alias("summary"),
+        F.substring(text, F.length(line) + 1, F.length(text)).alias("summary"),
         (now() - F.make_dt_interval(F.lit(0), hours)).alias("published_at"),
         author.alias("author"),
         "source",
@@ -39,11 +42,11 @@ ARTICLES = f"""
     SELECT concat(source, ':', CAST(doc_id AS VARCHAR)) AS article_id,
            CASE WHEN doc_id % 11 = 0 THEN '[Highlight] ' || line WHEN doc_id % 13 = 0 THEN 'On This Day: ' || line
                 WHEN doc_id % 17 = 0 THEN line || ' ?' WHEN doc_id % 29 = 0 THEN chr(8203) || '[Image ] ' || line ELSE line END AS title,
-           substr(text, length(split_part(text, chr(10), 1)) + 2) AS summary,
+           substr(text, length(line) + 1) AS summary,
            TIMESTAMP '{NOW}' - to_hours(CAST(doc_id * 37 % 400 AS INTEGER)) AS published_at,
            CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN source || '_MOD' ELSE '/u/' || source END AS author,
            source, doc_id AS pos
-    FROM (SELECT *, substr(split_part(text, chr(10), 1), 1, 199) AS line FROM documents)
+    FROM (SELECT *, regexp_extract(text, '{FIRST_SENTENCE}') AS line FROM documents)
 """
 
 

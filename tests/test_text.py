@@ -177,7 +177,7 @@ def test_brief_command(spark, tmp_path, capsys, monkeypatch):
     writers = [lambda p: "Nobody Atall won.", lambda p: "Jokić signs."]
     assert brief.main([str(tmp_path), "--date", "2026-01-15", "--dry-run"], writers) == 0
     assert "📰 NEWS\n\nJokić signs." in capsys.readouterr().out
-    assert brief.main([str(tmp_path), "--date", "2026-01-15", "--channel", "telegram"]) == 2
+    assert brief.main([str(tmp_path), "--date", "2026-01-15", "--channel", "telegram"]) == 1
     assert brief.main([str(tmp_path), "--date", "2026-01-15"]) == 0
     first = capsys.readouterr().out
     assert "Jokić signs" in first and "Utah Jazz 7 @ Utah Jazz 9  (Final)" in first and "Close finish — decided by 2" in first
