@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -223,7 +225,7 @@ def sets_of(classes: DataFrame, docs: DataFrame, n: int, id_col: str, text_col:
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = classes.select(F.col("doc").alias("id"), F.col("id").alias("one"), "two")
-    return texts.join(wanted, "id").select("text", "one", "two").mapInArrow(lean(run), "id long, set binary").dropDuplicates(["id"])
+    return texts.join(wanted, "id").select("text", "one", "two").mapInArrow(lean(run), "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -338,11 +340,20 @@ def classed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     """
     rows = written(sketched(docs, id_col, text_col, n))
     full = rows.where("id is not null and size > 0")
-    ids = checkpointed(full.groupBy("one", "two").agg(F.min("id").alias("doc")).select(F.col("one").alias("id"), "two", "doc"))
-    of_doc = ids.select(F.col("doc").alias("id"), F.col("id").alias("one"), "two")
-    classes = full.join(of_doc, ["id", "one", "two"], "left_semi").select(F.col("one").alias("id"), "signature")
+    bearers = full.groupBy("one", "two", "id").agg(F.count("*").alias("rows"))
+    ids = checkpointed(bearers.groupBy("one", "two").agg(F.min(F.struct("id", "rows")).alias("d")).select(F.col("one").alias("id"), "two", F.col("d.id").alias("doc"), (F.col("d.rows") > 1).alias("again")))
+
+    def once(of: Callable[[DataFrame], DataFrame], some: DataFrame) -> DataFrame:
+        """A row for each class; only those whose row is repeated are shuffled to be told apart."""
+        return of(some.where("not again")).unionByName(of(some.where("again")).dropDuplicates(["id"]))
+
+    def signed(some: DataFrame) -> DataFrame:
+        of_doc = some.select(F.col("doc").alias("id"), F.col("id").alias("one"), "two")
+        return full.join(of_doc, ["id", "one", "two"], "left_semi").select(F.col("one").alias("id"), "signature")
+
+    classes = once(signed, ids)
     tried = checkpointed(candidates(forest_rows(classes.withColumn("component", F.lit(0))), False))
-    held = written(sets_of(classes_met(ids, tried), docs, n, id_col, text_col))
+    held = written(once(lambda some: sets_of(some, docs, n, id_col, text_col), checkpointed(classes_met(ids, tried))))
     sure = checkpointed(confirmed(tried, held, percent))
     named = components(sure)
     # What is left to compare: pairs across families one by one, those within a family block by block.
