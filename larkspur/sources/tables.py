@@ -11,8 +11,19 @@ FIRST_SENTENCE = r"^[^\n.!?]*[.!?]?"
 NOW = "2026-08-13 16:00:00"
 
 
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the session's cores where a scan has fewer parts than there are, as that of one small file has; any larger table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def now() -> Column:
