@@ -98,16 +98,31 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def release() -> None:
-    """Remove the tables written so far; results that read them are void then."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def _remove(made: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in made:
         with contextlib.suppress(Exception):  # the session may have ended
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables written inside are removed at the end: for work whose result is written elsewhere by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _remove(_WRITTEN[before:])
+        del _WRITTEN[before:]
+
+
+@atexit.register
+def release() -> None:
+    """Remove the tables written so far; results that read them are void then."""
+    _remove(_WRITTEN)
+    _WRITTEN.clear()
+
+
 def chunk_count(rows: int, chunk_rows: int, most: int = 4096) -> int:
     """Number of chunks of about chunk_rows rows; `most` bounds what is gathered by chunk."""
     return max(1, min(most, math.ceil(rows / chunk_rows)))

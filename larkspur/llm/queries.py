@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.tables import table
 from . import bpe, licences, lsh_forest, media, mixing, quality, sharding, suffix_dedup, token_counts, topk
 
 #: Where the public vocabulary files lie; a parameter of every operator that needs one.
@@ -18,10 +19,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     base = F.filter("matches", lambda m: m["kind"] == "base")
