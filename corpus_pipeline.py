@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import bpe, lsh_forest, mixing, quality, suffix_dedup
-from larkspur.llm.common import new_path
-from larkspur.llm.queries import VOCABULARY_RANKS, vocabulary
+from larkspur.llm.common import new_path, scratch
+from larkspur.llm.queries import VOCABULARY_RANKS, table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,10 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another over documents, each result written to the shared folder and read again; what a stage writes on its way goes with it."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = new_path(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
