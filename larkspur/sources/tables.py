@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import text as X
+
 #: Up to and with the first full stop, or up to the end of the line.
 FIRST_SENTENCE = r"^[^\n.!?]*[.!?]?"
 
@@ -30,18 +32,23 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
+def _named(text):
+    """Turns as texts with names: words whose length is no multiple of three get a capital."""
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when((F.length(w) % 3 > 0) & (F.substring(w, 1, 1) != "ß"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)), " ")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as articles: the first sentence of the first line is the title, whatever follows it the summary; every so many titles get a tag, a phrase or a question mark."""
+    """documents as articles: the first sentence of the first line is the title, with names, and whatever follows it the summary; every so many titles get a tag, a phrase or a question mark."""
     n, text = F.col("doc_id"), F.col("text")
-    line = F.regexp_extract(text, FIRST_SENTENCE, 0)
-    title = F.when(n % 11 == 0, F.concat(F.lit("[Highlight] "), line)).when(n % 13 == 0, F.concat(F.lit("On This Day: "), line)).when(n % 17 == 0, F.concat(line, F.lit(" ?"))).when(n % 29 == 0, F.concat(F.lit("\u200b[Image ] "), line)).otherwise(line)
+    first = F.regexp_extract(text, FIRST_SENTENCE, 0)
+    title = X.let(_named(first), lambda line: F.when(n % 11 == 0, F.concat(F.lit("[Highlight] "), line)).when(n % 13 == 0, F.concat(F.lit("On This Day: "), line)).when(n % 17 == 0, F.concat(line, F.lit(" ?"))).when(n % 29 == 0, F.concat(F.lit("\u200b[Image ] "), line)).otherwise(line))
     author = F.when(n % 7 == 0, None).when(n % 19 == 0, F.concat("source", F.lit("_MOD"))).otherwise(F.concat(F.lit("/u/"), "source"))
     hours = (n * 37 % 400).cast("int")
     return table(spark, sf_dir, "documents").select(
         F.concat("source", F.lit(":"), n.cast("string")).alias("article_id"),
         title.alias("title"),
         F.concat(F.lit("https://example.com/"), n.cast("string")).alias("url"),
-        F.substring(text, F.length(line) + 1, F.length(text)).alias("summary"),
+        F.substring(text, F.length(first) + 1, F.length(text)).alias("summary"),
         (now() - F.make_dt_interval(F.lit(0), hours)).alias("published_at"),
         author.alias("author"),
         "source",
@@ -49,15 +56,16 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NAMED = "array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) % 3 > 0 AND substr(w, 1, 1) <> 'ß' THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END), ' ')"
 ARTICLES = f"""
     SELECT concat(source, ':', CAST(doc_id AS VARCHAR)) AS article_id,
            CASE WHEN doc_id % 11 = 0 THEN '[Highlight] ' || line WHEN doc_id % 13 = 0 THEN 'On This Day: ' || line
                 WHEN doc_id % 17 = 0 THEN line || ' ?' WHEN doc_id % 29 = 0 THEN chr(8203) || '[Image ] ' || line ELSE line END AS title,
-           substr(text, length(line) + 1) AS summary,
+           substr(text, length(first) + 1) AS summary,
            TIMESTAMP '{NOW}' - to_hours(CAST(doc_id * 37 % 400 AS INTEGER)) AS published_at,
            CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN source || '_MOD' ELSE '/u/' || source END AS author,
            source, doc_id AS pos
-    FROM (SELECT *, regexp_extract(text, '{FIRST_SENTENCE}') AS line FROM documents)
+    FROM (SELECT *, {NAMED.replace("text", "first", 1)} AS line FROM (SELECT *, regexp_extract(text, '{FIRST_SENTENCE}') AS first FROM documents))
 """
 
 
@@ -90,11 +98,6 @@ GAMES = """
 """
 
 
-def _named(text):
-    """Turns as texts with names: words whose length is no multiple of three get a capital."""
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when((F.length(w) % 3 > 0) & (F.substring(w, 1, 1) != "ß"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))).otherwise(w)), " ")
-
-
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as summaries: (conv_id, summary)."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("text", _named(F.col("text")))
@@ -108,7 +111,6 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", F.col("turn").alias("pos"), line.alias("title"), F.substring(text, F.length(line) + 2, 1 << 30).alias("summary"))
 
 
-NAMED = "array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) % 3 > 0 AND substr(w, 1, 1) <> 'ß' THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END), ' ')"
 EVIDENCE = f"""turn AS (SELECT conv_id, turn, role, {NAMED} AS text FROM conversations),
 evidence AS (SELECT conv_id, turn AS pos, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS summary FROM turn WHERE role = 'user'),
 claim AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS summary FROM turn WHERE role = 'assistant' GROUP BY conv_id)"""
