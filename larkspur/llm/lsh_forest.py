@@ -15,6 +15,8 @@ from .common import checkpointed, components, lean, text_batches, unused, with_l
 HASHES, TREES, SHALLOW, DEEP = 160, 32, 4, 6
 #: A region larger than this is entered one level deeper, while there is one.
 REGION = 24
+#: Rows of one key that a task holds at a time.
+HELD = 400_000
 #: Bits compared before a pair is confirmed, and how many must agree; a pair at similarity 0.8 agrees in 115.2 of them, standard deviation 3.4.
 BITS, AGREE = 128, 97
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -196,13 +198,16 @@ def candidates(forest: DataFrame, with_components: bool) -> DataFrame:
 
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held.num_rows < 50_000:
+            if held.num_rows < min(50_000, HELD):
                 continue
             key = held.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on
             if cut:
                 yield from links(held.slice(0, cut))
                 held = held.slice(cut).combine_chunks()
+            elif held.num_rows >= HELD:  # a key without end goes on from its last row: its stretches are one family, compared block by block later
+                yield from links(held)
+                held = held.slice(held.num_rows - 1).combine_chunks()
         if held is not None and held.num_rows:
             yield from links(held)
 

@@ -20,6 +20,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and tags of every document: base places as the contract has them; labels also of further notices and of tags' expressions; permitted says whether all of
+    these expressions, evaluated with and, or and with, can be met by permissive licences (true where there is none). A null text has no words; repeated rows stay; an empty table gives an empty one."""
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     base = F.filter("matches", lambda m: m["kind"] == "base")
     words = F.transform(base, lambda m: m["word"])
@@ -30,26 +32,35 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document as the library gives them, and the longest prefix within 512. A null text is an empty one; repeated rows stay; an empty table gives an empty one."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY_JSON), limit=512)
 
 
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents by two-word shingles at 0.8 or more. A null or wordless text is linked with nothing, rows of one id fall into the classes of their own texts; an empty
+    table gives an empty one."""
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
 def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of near equal bytes, equal texts together (law `bytes`). A null text goes with empty ones, repeated rows get slots of their own; an empty
+    table gives an empty one."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, by their digests. A null text is an empty one; repeated rows stay; an empty table gives an empty one."""
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY_RANKS), with_ids=False)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when repeated strings of 200 bytes go. A null text is an empty one, repeated rows are copies of each other; an empty table gives an empty one."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("spans")
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best integer inner products of every hundredth vector with all others; ties to the smaller id. Null vectors and ones with null or non-finite components take no part; an
+    empty table gives an empty one."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
@@ -59,10 +70,13 @@ def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document. A null text has no words, a null source is a source, repeated rows are documents of their own; an empty table gives an empty one."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the importance sample, of as many as are more likely target than not. A null text is an empty one, rows equal in id and text go together; an empty table gives an
+    empty one."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hash")
 
 

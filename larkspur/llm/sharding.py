@@ -28,7 +28,8 @@ def group_shards(groups: DataFrame, shards: int, n_groups: int, key: str = "key"
 
     Groups are dealt into chunks by a hash of their key. Within a chunk, sorted by size, a heap of `shards` bins takes them one after
     another, so a task holds no more than the heap. The bins of all chunks, at most 4096 times `shards`, are then scheduled
-    in the same way on the driver. Returns (key, shard).
+    in the same way on the driver. Up to `chunk_groups` groups are one chunk, which is the plain schedule; beyond that placement differs, and a test
+    holds its fullest shard within 1 % of the plain schedule's. Returns (key, shard).
     """
     chunks = chunk_count(n_groups, chunk_groups)
     kind = groups.select(key).schema[0].dataType.simpleString()

@@ -49,6 +49,10 @@ def test_own_columns_come_through(spark, odd, name):
     assert empty.dtypes == odd.dtypes and empty.collect() == []
 
 
+def test_without_labels_all_are_as_likely(spark, odd):
+    assert quality.keep_quality(odd, labels_of(spark).where("false")).count() > 0
+
+
 def test_names_are_unused():
     assert common.unused(["Key", "hash", "hash_"], "key", "hash", "other", "other") == ["key_", "hash__", "other", "other_"]
 
@@ -64,6 +68,24 @@ def test_rows_of_one_id_stand_for_their_own_texts(spark):
     assert links == Counter({(5, 5): 3, (6, 5): 1, (7, 5): 1, (9, 9): 2, (9, 5): 1, (None, None): 1})
 
 
+def test_a_key_without_end_is_taken_in_stretches(spark, monkeypatch):
+    import random
+
+    from . import brute
+
+    rnd, texts = random.Random(5), []
+    for base in (sentence("u", 80), sentence("v", 80)):
+        for _ in range(120):
+            words = base.split()
+            for _ in range(rnd.randint(0, 3)):
+                words[rnd.randrange(len(words))] = f"z{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lsh_forest, "HELD", 20)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in lsh_forest.near_duplicates(docs, n=2).collect()}
+    assert got == brute.near_rows(list(enumerate(texts)), n=2)
+
+
 def test_one_id_under_two_sources_is_two_documents(spark):
     text, other = sentence("m", 10), sentence("o", 12)
     docs = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (2, other, "a")], "doc_id long, text string, source string")
