@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -12,6 +13,9 @@ from . import values as V
 #: White space as Unicode has it, with the four separators U+001C to U+001F.
 SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+#: The same, character by character.
+SPACES = "".join(chr(c) for c in range(0x3001) if re.match(SPACE, chr(c)))
+
 
 def literals(words: Iterable[str]) -> Column:
     return F.array(*(F.lit(w) for w in words)) if (words := list(words)) else F.array().cast("array<string>")
@@ -49,7 +53,8 @@ def collapsed(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    return F.filter(F.split(x, f"{SPACE}+"), lambda t: t != "")
+    """Words between white space. Each such character becomes a blank first: to split at one character needs no pattern."""
+    return F.filter(F.split(F.translate(x, SPACES, " " * len(SPACES)), " "), lambda t: t != "")
 
 
 def normalised_title(x: Column) -> Column:
