@@ -5,9 +5,8 @@ strings have equal anchors, so it is enough to sort the suffixes that begin at a
 them that strings with this anchor reach back to. A stretch of neighbouring strings with one anchor is a *run*.
 
 Runs go to ranges of their leading token, the splitters taken from a sample's quantiles. Equal runs are counted first, whole. Within a range, the
-strings of runs that differ are sorted by multikey quicksort: by the first 8 bytes, then equal ones by the next 8, and so on to the end. A token
-with so many runs that several splitters fall on it lies across range boundaries; its runs are dealt over those ranges by
-string, and the ranges' sorted strings are compared across their boundaries by the strings' digests.
+strings of runs that differ are sorted by multikey quicksort: by 8 bytes, then equal ones by the next 8, and so on to both ends. A token
+with too many runs for one task lies across range boundaries; its strings are dealt over all tasks and compared across boundaries by their digests.
 """
 
 from __future__ import annotations
@@ -26,7 +25,11 @@ TOKEN = 24
 #: Bytes of text whose anchors are found together.
 AT_ONCE = 1_000_000
 #: Runs of a range, about, and the most ranges.
-RANGE_RUNS, MOST_RANGES = 25_000, 10_000
+RANGE_RUNS, MOST_RANGES = 4_000, 50_000
+#: Runs of a token beyond which it lies across boundaries.
+TOKEN_RUNS = 50_000
+#: Texts that a task remembers, so that it takes each of their copies once.
+REMEMBERED = 100_000
 
 
 def token_hashes(data: np.ndarray) -> np.ndarray:
@@ -153,14 +156,25 @@ def as_spans(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"first": a, "last": b} for a, b in x] for x in found], SPANS)
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """For each text (key, text; rows of one key are equal): the spans covered by strings that start more than once. Rows (key, spans)."""
+def repeated_spans(texts: DataFrame, once: DataFrame, length: int) -> DataFrame:
+    """For each text (key, text; rows of one key are equal, `once` has one of each): the spans covered by strings that start more than once. Rows (key, spans).
+
+    Copies are let go where a task meets them again, and those of other tasks where runs are gathered, so no row grows with the number of copies.
+    """
     text_batches(texts.sparkSession)
 
     def anchor(batches):
         """Runs, and with a null token the spans that a text repeats within itself."""
+        known: set[bytes] = set()
         for batch in batches:
-            keys, raw = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
+            if len(known) > REMEMBERED:
+                known.clear()
+            keys, raw = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key not in known:
+                    known.add(key)
+                    keys.append(key)
+                    raw.append(text.encode())
             for a, b in split_batches(raw):
                 part = raw[a:b]
                 text, start, strings, token, lead = find_runs(part, length)
@@ -190,13 +204,11 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     kinds = runs.groupBy("token", "digest", "strings").agg(F.max("twice").alias("twice"), F.min(F.struct("key", "start")).alias("at"), F.min(place).alias("low"), F.max(place).alias("high"))
     per_token = kinds.groupBy("token").agg(F.count("*").alias("kinds"))
     # A run that comes again is repeated whole; one whose token has other runs may be in part.
-    kinds = written(kinds.join(per_token.where("kinds > 1"), "token", "left").select("token", "digest", "strings", "at", ((F.col("low") != F.col("high")) | F.col("twice")).alias("whole"), F.col("kinds").isNotNull().alias("open")).where("whole or open"))
+    kinds = written(kinds.join(per_token.where("kinds > 1"), "token", "left").select("token", "digest", "strings", "at", ((F.col("low") != F.col("high")) | F.col("twice")).alias("whole"), F.col("kinds").isNotNull().alias("open"), (F.coalesce("kinds", F.lit(0)) > TOKEN_RUNS).alias("across")).where("whole or open"))
     open_kinds = kinds.where("open")
     n_open = open_kinds.count()
     ranges = max(1, min(MOST_RANGES, n_open // RANGE_RUNS + 1))
     splitters = [] if ranges == 1 else open_kinds.agg(F.percentile_approx("token", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-    # A token on which splitters fall more than once lies across boundaries.
-    across = sorted({x for x, y in zip(splitters, splitters[1:]) if x == y})
     edges = np.array(sorted(set(splitters)), np.int64)
 
     def cut(batches):
@@ -207,13 +219,14 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
                 rows: list[tuple] = []
                 for text, want in zip(texts_[a : a + 64], asked[a : a + 64]):
                     raw = text.encode()
-                    rows += [(r["token"], r["digest"], r["strings"], raw[r["start"] : r["start"] + r["strings"] + length - 1]) for r in want]
-                token, digest, strings, content = zip(*rows)
+                    rows += [(r["token"], r["digest"], r["strings"], r["across"], raw[r["start"] : r["start"] + r["strings"] + length - 1]) for r in want]
+                token, digest, strings, across, content = zip(*rows)
                 token = np.array(token, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, token, "right").astype(np.int32)), pa.array(token), pa.array(digest, pa.int64()), pa.array(strings, pa.int32()), pa.array(content, pa.binary()), pa.array(np.isin(token, across))], names=["range", "token", "digest", "strings", "content", "across"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, token, "right").astype(np.int32)), pa.array(token), pa.array(digest, pa.int64()), pa.array(strings, pa.int32()), pa.array(content, pa.binary()), pa.array(across, pa.bool_())], names=["range", "token", "digest", "strings", "content", "across"])
 
-    asked = open_kinds.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("token", "digest", "strings", F.col("at.start").alias("start"))).alias("asked"))
-    contents = texts.groupBy("key").agg(F.first("text").alias("text")).join(asked, "key").select("text", "asked").mapInArrow(lean(cut), "range int, token long, digest long, strings int, content binary, across boolean")
+    asked = open_kinds.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("token", "digest", "strings", "across", F.col("at.start").alias("start"))).alias("asked"))
+    # All columns of `once` are taken, here and by the caller, so that both read one shuffle.
+    contents = once.join(asked, "key").select("text", "asked", "copies").mapInArrow(lean(cut), "range int, token long, digest long, strings int, content binary, across boolean")
     result = f"token long, digest long, strings int, spans {SPANS_SQL}"
 
     def sort_ranges(batches):
@@ -246,12 +259,12 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     inner = contents.where("not across").drop("across").repartition(ranges, "range").sortWithinPartitions("token", "digest")
     partly = inner.drop("range").mapInArrow(lean(sort_ranges), result)
-    if across:
+    if not open_kinds.where("across").isEmpty():
         partly = partly.unionByName(compare_across(contents.where("across"), length, result))
     whole = kinds.where("whole").select("token", "digest", "strings", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("strings") + length - 1).cast("long").alias("last"))).alias("spans"))
     hits = whole.unionByName(partly.where(F.size("spans") > 0)).groupBy("token", "digest", "strings").agg(F.flatten(F.collect_list("spans")).alias("hits"))
     moved = runs.join(hits, ["token", "digest", "strings"]).select("key", F.transform("hits", lambda s: F.struct((s["first"] + F.col("start")).alias("first"), (s["last"] + F.col("start")).alias("last"))).alias("spans"))
-    return moved.unionByName(found.where("token is null").select("key", "spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return moved.unionByName(found.where("token is null").select("key", "spans")).groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def compare_across(contents: DataFrame, length: int, result: str) -> DataFrame:
@@ -284,14 +297,16 @@ def compare_across(contents: DataFrame, length: int, result: str) -> DataFrame:
 def keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """(key, text): the key is the text's 128-bit digest, the text empty where it is null."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    # Both joins over this shall read one shuffle, so their plans must be alike: keys are never null, which an inner join would add and an outer one would
+    # not, and coalescing to more parts than any table has moves nothing but keeps the optimiser from drawing the projection into one of the aggregations.
+    return docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).where("key is not null").coalesce(1 << 20)
 
 
 def without_repeats(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     """For each different text: key, text, and the spans to remove."""
     texts = keyed(docs, text_col)
-    found = repeated_spans(texts, length)
     once = texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    found = repeated_spans(texts, once, length)
     joined = once.join(found.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").drop("_key")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.octet_length("text").cast("long").alias("last")))
     return joined.select("key", "text", F.when((F.col("copies") > 1) & (F.octet_length("text") >= length), whole).otherwise(F.col("spans")).alias("spans"))
