@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_batches, untracked
+from .common import kept_in_worker, text_batches, untracked
 
 #: The split of a text ahead of the merges that the vocabulary files are made for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -290,6 +290,9 @@ def encoder(path: str) -> Encoded:
     return Encoded(path)
 
 
+kept_in_worker(encoder.cache_clear)
+
+
 @functools.lru_cache(2)
 def splitter(pattern: str):
     return regex.compile(pattern)
