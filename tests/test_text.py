@@ -195,3 +195,9 @@ def test_channels_answer(monkeypatch):
     assert channels.Telegram("t", "c").send("a\n\n" + "b" * 5000) and len(posted) == 3
     monkeypatch.setattr(channels.urllib.request, "urlopen", lambda *_, **__: 1 / 0)
     assert channels.Telegram("t", "c").send("a") is False
+
+
+def test_a_title_of_many_names_is_one_run(spark):
+    words = ["Alpha"] * 20_000
+    assert one(spark, X.title_names, " ".join(words)) == [" ".join(words)]
+    assert one(spark, X.title_names, " ".join([*words, "and", *words[:2], "The Beta  Gamma"])) == [" ".join(words), "Alpha Alpha Beta Gamma"]
