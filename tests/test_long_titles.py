@@ -19,3 +19,8 @@ def articles(spark):
 
 def test_counts(articles):
     assert {(r.name, r.df) for r in stories.name_counts(articles, ["batch"]).collect()} == {(RUN, 3), ("Beta Gamma", 2), ("Delta", 2)}
+
+
+def test_rare(articles):
+    rare = stories.rare_names(articles, ["batch"], share=0.0, floor=2)
+    assert {(r.pos, r.name) for r in rare.collect()} == {(1, "Beta Gamma"), (2, "Beta Gamma"), (2, "Delta"), (3, "Delta")}
