@@ -24,3 +24,7 @@ def test_counts(articles):
 def test_rare(articles):
     rare = stories.rare_names(articles, ["batch"], share=0.0, floor=2)
     assert {(r.pos, r.name) for r in rare.collect()} == {(1, "Beta Gamma"), (2, "Beta Gamma"), (2, "Delta"), (3, "Delta")}
+
+
+def test_pairs(articles):
+    assert {(r.early, r.late, r.shared) for r in stories.story_pairs(articles, ["batch"], shared=1).collect()} == {(0, 1, 1), (0, 3, 1), (1, 2, 1), (1, 3, 1), (2, 3, 1)}
