@@ -28,3 +28,7 @@ def test_rare(articles):
 
 def test_pairs(articles):
     assert {(r.early, r.late, r.shared) for r in stories.story_pairs(articles, ["batch"], shared=1).collect()} == {(0, 1, 1), (0, 3, 1), (1, 2, 1), (1, 3, 1), (2, 3, 1)}
+
+
+def test_groups(articles):
+    assert [(r.pos, r.story_pos) for r in stories.story_groups(articles, ["batch"], shared=1).orderBy("pos").collect()] == [(0, 0), (1, 0), (2, 0), (3, 0)]
