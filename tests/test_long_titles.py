@@ -32,3 +32,8 @@ def test_pairs(articles):
 
 def test_groups(articles):
     assert [(r.pos, r.story_pos) for r in stories.story_groups(articles, ["batch"], shared=1).orderBy("pos").collect()] == [(0, 0), (1, 0), (2, 0), (3, 0)]
+
+
+def test_chain(articles):
+    rows = stories.build_stories(articles, ["batch"], shared=2).orderBy("chain_pos").collect()
+    assert [(r.pos, r.chain_pos) for r in rows] == [(0, 0), (1, 1), (2, 2), (3, 3)]
