@@ -37,3 +37,11 @@ def test_groups(articles):
 def test_chain(articles):
     rows = stories.build_stories(articles, ["batch"], shared=2).orderBy("chain_pos").collect()
     assert [(r.pos, r.chain_pos) for r in rows] == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_brief(spark, articles):
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    rows = articles.select("*", F.col("pos").cast("string").alias("article_id"), F.lit("").alias("summary"), now.alias("published_at"), F.lit("/u/x").alias("author"))
+    games = spark.createDataFrame([], "batch int, home_team string, away_team string")
+    _, told = brief.news_of(rows, games, rows.where("false").select("article_id"), now, ["batch"])
+    assert {r.pos for r in told.collect()} == {1, 2}
